@@ -23,6 +23,11 @@ def _day(c: str):
     return F.date_format(F.date_from_unix_date(c), "yyyy-MM-dd")
 
 
+def _digits(c: str):
+    """Twelve significant digits: sums in another order, of readings as large as 1e36, come out alike."""
+    return F.format_string("%.11e", F.col(c)).cast("double")
+
+
 def _rolling(spark: SparkSession, d: str) -> DataFrame:
     readings = usable_readings(table(spark, d, "series"), table(spark, d, "deliveries"))
     return station_rolling_totals(readings, deployment_periods(table(spark, d, "deployments")))
@@ -37,7 +42,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
     """Sum and mean of the trailing 7 and 30 days, for every station and day of its deployments."""
-    out = _rolling(spark, d).select("station_ref", _day("day").alias("day"), "n_day", "n_7", F.round("total_7", 4).alias("total_7"), "n_30", F.round("total_30", 4).alias("total_30"))
+    out = _rolling(spark, d).select("station_ref", _day("day").alias("day"), "n_day", "n_7", _digits("total_7").alias("total_7"), "n_30", _digits("total_30").alias("total_30"))
     means = {f"mean_{w}": F.when(F.col(f"n_{w}") > 0, F.col(f"total_{w}") / F.col(f"n_{w}")) for w in (7, 30)}
     return out.withColumns(means)
 
@@ -116,8 +121,8 @@ _ROLLING = f"""WITH {_CURRENT}, daily AS (
   SELECT DISTINCT station_ref, unnest(range(({_FLOOR("epoch_us(starts_at)", DAY_US)} // {DAY_US})::BIGINT, ({_FLOOR("(epoch_us(ends_at) - 1)", DAY_US)} // {DAY_US})::BIGINT + 1))::INT AS day FROM deployments
 ), rolling AS (
   SELECT g.station_ref, strftime(DATE '1970-01-01' + g.day, '%Y-%m-%d') AS day, coalesce(sum(n) FILTER (d.day = g.day), 0)::BIGINT AS n_day,
-    coalesce(sum(n) FILTER (d.day > g.day - 7), 0)::BIGINT AS n_7, round(coalesce(sum(total) FILTER (d.day > g.day - 7), 0), 4) AS total_7,
-    coalesce(sum(n), 0)::BIGINT AS n_30, round(coalesce(sum(total), 0), 4) AS total_30
+    coalesce(sum(n) FILTER (d.day > g.day - 7), 0)::BIGINT AS n_7, printf('%.11e', coalesce(sum(total) FILTER (d.day > g.day - 7), 0))::DOUBLE AS total_7,
+    coalesce(sum(n), 0)::BIGINT AS n_30, printf('%.11e', coalesce(sum(total), 0))::DOUBLE AS total_30
   FROM days g LEFT JOIN daily d ON d.station_ref = g.station_ref AND d.day BETWEEN g.day - 29 AND g.day GROUP BY g.station_ref, g.day
 )"""
 _STEP = "CASE frequency_interval WHEN '1min' THEN 60000000 WHEN '15min' THEN 900000000 WHEN '30min' THEN 1800000000 WHEN '1h' THEN 3600000000 WHEN 'day' THEN 86400000000 END"
