@@ -26,6 +26,8 @@ LATIN_OF_CYRILLIC = "ABCEHIJKMOPSTXYGacdehijlopqswxyv"
 CYRILLIC = "АВСЕНІЈКМОРЅТХҮԌасԁеһіјӏорԛѕԝхуѵ"
 LATIN_OF_GREEK = "ABEZHIKMNOPTYXovpcj"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳ"
+#: Those of the Latin letters above whose look-alikes are common in running Cyrillic and Greek text.
+USUAL = {"Cyrl": "ABCEHKMOPTXaceopxy", "Grek": "ABEZHIKMNOPTYXov"}
 #: Other characters that look like the one given.
 ALIKE = {"\u04c0": "I", "\u0261": "g", "\u0251": "a", "\u00b5": "\u03bc", "\u2010": "-", "\u2011": "-", "\u2024": ".", "\u201a": ",", "\u02bc": "\u2019", "\u2028": "\n", "\u2029": "\n", "\t": " "}
 #: Ranges of characters that show nothing.
@@ -39,6 +41,7 @@ _TOKEN = re.compile(f"[A-Za-z\u00aa\u00ba\u00c0-\u024f\u0370-\u052f{_MARKS}]+")
 _CYRILLIC_ONLY = re.compile("[\u0400-\u052f]")
 _GREEK_ONLY = re.compile("[\u0370-\u03bb\u03bd-\u03ff]")
 _LATIN_ONLY = {k: re.compile("[" + "".join(sorted(set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") - set(v))) + "ªºæðøþßđħıłŋœŧƒ]") for k, v in _TO.items()}
+_ALL_USUAL = {k: re.compile(f"[{v}\u0308\u0301]+") for k, v in USUAL.items()}
 _SCRIPTS_IN = (("Latn", re.compile("[A-Za-z]")), ("Cyrl", _CYRILLIC_ONLY), ("Grek", _GREEK_ONLY))
 
 
@@ -90,7 +93,7 @@ def _spell(classes: str, whole: str | None) -> str:
             while s + 1 < len(sure) and sure[s + 1][0] <= n:
                 s += 1
             near = min(sure[s : s + 2], key=lambda x: abs(x[0] - n))[1]
-            script = near if near in can else "Latn"
+            script = near if near in can and near != "Latn" and _ALL_USUAL[near].fullmatch(classes[a:z]) else "Latn"
         if script != "Latn":
             out += [classes[at:a], classes[a:z].translate(_SPELLING[script])]
             at = z
@@ -101,7 +104,7 @@ def consistent(text: str, whole: str | None = None) -> str:
     """The consistent form of a text.
 
     A token that could be wholly of another script is spelled as the nearest token that couldn't (of two as near, the
-    one before); whole='Latn' spells it in Latin wherever it stands, for comparing words out of their context.
+    one before), if its letters are usual in that script, else in Latin; whole='Latn' spells it in Latin wherever it stands, for comparing words out of their context.
     """
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
