@@ -167,3 +167,46 @@ WHERE o.delivery_id IS NULL OR o.lon IS DISTINCT FROM n.lon OR o.lat IS DISTINCT
   SELECT delivery_id AS id FROM deliveries WHERE delivery_id NOT IN (SELECT delivery_id FROM run_log WHERE run_status = 'succeeded')
 ) SELECT min(id) AS lo, max(id) AS hi FROM (SELECT id, id - row_number() OVER (PARTITION BY id // 65536 ORDER BY id) AS g, id // 65536 AS page FROM pending) GROUP BY page, g""",
 }
+SQL["p5_found"] = f"""WITH {_CURRENT}, kinds AS (
+  SELECT station_ref, variable, min_value, max_value FROM (
+    SELECT s.station_ref, s.variable, row_number() OVER (PARTITION BY s.station_ref ORDER BY d.arrived_at DESC NULLS LAST, s.loaded_at DESC) AS rn FROM stations s LEFT JOIN deliveries d USING (delivery_id)
+  ) JOIN encodings USING (variable) WHERE rn = 1
+), judged AS (
+  SELECT c.station_ref, us, value, variable, value BETWEEN min_value AND max_value AS inside FROM current c JOIN kinds USING (station_ref) WHERE value IS NOT NULL
+), sound AS (
+  SELECT station_ref, us, value, variable, row_number() OVER w AS i, lag(value) OVER w AS prev FROM judged WHERE inside WINDOW w AS (PARTITION BY station_ref ORDER BY us)
+), usual AS (SELECT station_ref, median(round(abs(value - prev), 9)) AS step FROM sound WHERE round(abs(value - prev), 9) > 0 GROUP BY 1
+), islands AS (SELECT *, sum((prev IS NULL OR value <> prev)::INT) OVER (PARTITION BY station_ref ORDER BY us) AS run FROM sound
+), runs AS (
+  SELECT station_ref, run, count(*) AS n FROM islands WHERE NOT (value = 0 AND variable IN ('precipitation', 'streamflow')) GROUP BY ALL
+), limits AS (
+  SELECT station_ref, greatest(12, 2 * CASE WHEN count(*) FILTER (n >= 12) >= 5 AND count(*) FILTER (n >= 12) * 20 > count(*)
+    THEN greatest(quantile_cont(n, 0.95), coalesce(max(n) FILTER (n < 12), 0)) ELSE coalesce(max(n) FILTER (n < 12), 1) END) AS stuck_from FROM runs GROUP BY 1
+), stuck AS (SELECT i.station_ref, i.us FROM islands i JOIN runs r USING (station_ref, run) JOIN limits l USING (station_ref) WHERE r.n >= l.stuck_from
+), near AS (
+  SELECT s.*, u.step, abs(value - median(value) OVER (PARTITION BY station_ref ORDER BY us ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)) AS off
+  FROM sound s JOIN usual u USING (station_ref) WHERE variable <> 'precipitation'
+), parts AS (
+  SELECT station_ref, i, step, prev, unnest([1, 2, 3]) AS m,
+    unnest([lead(value, 1) OVER w, lead(value, 2) OVER w, lead(value, 3) OVER w]) AS next,
+    unnest([value, min(value) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), min(value) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)]) AS lo,
+    unnest([value, max(value) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), max(value) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)]) AS hi,
+    unnest([off, min(off) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), min(off) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)]) AS weight
+  FROM near WINDOW w AS (PARTITION BY station_ref ORDER BY us)
+), groups AS (
+  SELECT station_ref, i AS a, i + m AS b, weight FROM parts
+  WHERE prev IS NOT NULL AND next IS NOT NULL AND greatest(lo - greatest(prev, next), least(prev, next) - hi) > 12 * step
+), spikes AS (
+  SELECT station_ref, unnest(range(a, b)) AS i FROM groups g WHERE NOT EXISTS (
+    SELECT 1 FROM groups o WHERE o.station_ref = g.station_ref AND o.weight > g.weight AND NOT (o.a < g.b AND g.a < o.b)
+      AND ((g.a - 1 >= o.a AND g.a - 1 < o.b) OR (g.b >= o.a AND g.b < o.b)))
+), heights AS (
+  SELECT DISTINCT station_ref, altitude, epoch_us(loaded_at) AS at_us FROM stations WHERE altitude IS NOT NULL AND NOT isnan(altitude)
+), middles AS (SELECT station_ref, median(altitude) AS middle, count(*) AS n FROM heights GROUP BY 1
+), agreed AS (
+  SELECT h.*, middle, n, count(*) FILTER (abs(altitude - middle) <= 50) OVER (PARTITION BY h.station_ref) AS agreeing FROM heights h JOIN middles USING (station_ref)
+)
+SELECT 'value' AS field_name, station_ref, us AS at_us FROM judged WHERE NOT inside
+UNION SELECT 'value', station_ref, us FROM stuck
+UNION SELECT 'value', s.station_ref, n.us FROM spikes s JOIN near n ON n.station_ref = s.station_ref AND n.i = s.i
+UNION SELECT 'altitude', station_ref, at_us FROM agreed WHERE NOT (altitude BETWEEN -500 AND 9000) OR (n >= 3 AND agreeing * 2 > n AND abs(altitude - middle) > 50)"""
