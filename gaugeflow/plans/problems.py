@@ -210,3 +210,48 @@ SELECT 'value' AS field_name, station_ref, us AS at_us FROM judged WHERE NOT ins
 UNION SELECT 'value', station_ref, us FROM stuck
 UNION SELECT 'value', s.station_ref, n.us FROM spikes s JOIN near n ON n.station_ref = s.station_ref AND n.i = s.i
 UNION SELECT 'altitude', station_ref, at_us FROM agreed WHERE NOT (altitude BETWEEN -500 AND 9000) OR (n >= 3 AND agreeing * 2 > n AND abs(altitude - middle) > 50)"""
+_TIMES = r"""WITH cleaned AS (
+  SELECT raw_id, station_ref, zone_name AS zone, date_order AS ord, trim(regexp_replace(translate(time_text, '−' || chr(160) || chr(9), '-  '), ' +', ' ', 'g')) AS t
+  FROM raw_series LEFT JOIN feeds USING (feed_id)
+), dated AS (
+  SELECT *, regexp_extract(t, '^(\d{4})-(\d{1,2})-(\d{1,2})[ Tt](.+)$', ['y', 'm', 'd', 'r']) AS iso,
+    regexp_extract(t, '^(\d{4})-(\d{3})[ Tt](.+)$', ['y', 'j', 'r']) AS ordinal,
+    regexp_extract(t, '^(\d{4})(\d\d)(\d\d)[ Tt]?(\d\d)(\d\d)(\d\d)(.*)$', ['y', 'm', 'd', 'h', 'i', 's', 'r']) AS basic,
+    regexp_extract(t, '^(\d{1,4})[/.](\d{1,2})[/.](\d{1,4}),? (.+)$', ['a', 'b', 'c', 'r']) AS num,
+    regexp_extract(t, '^(?:([A-Z][a-z]{2}), )?(\d{1,2})[- ]([A-Z][a-z]{2})[- ](\d{4}) (.+)$', ['w', 'd', 'm', 'y', 'r']) AS named FROM cleaned
+), placed AS (
+  SELECT *, CASE WHEN iso.y <> '' THEN iso.y WHEN ordinal.y <> '' THEN ordinal.y WHEN basic.y <> '' THEN basic.y WHEN named.y <> '' THEN named.y
+      WHEN num.a <> '' THEN CASE WHEN length(num.a) = 4 THEN num.a WHEN ord = 'ymd' THEN '20' || num.a WHEN length(num.c) = 4 THEN num.c ELSE '20' || num.c END END AS y,
+    CASE WHEN iso.y <> '' THEN iso.m WHEN basic.y <> '' THEN basic.m WHEN named.y <> '' THEN ((strpos('JanFebMarAprMayJunJulAugSepOctNovDec', named.m) + 2) // 3)::VARCHAR
+      WHEN num.a <> '' THEN CASE WHEN length(num.a) = 4 OR ord = 'ymd' OR ord = 'dmy' THEN num.b ELSE num.a END END AS m,
+    CASE WHEN iso.y <> '' THEN iso.d WHEN basic.y <> '' THEN basic.d WHEN named.y <> '' THEN named.d
+      WHEN num.a <> '' THEN CASE WHEN length(num.a) = 4 OR ord = 'ymd' THEN num.c WHEN ord = 'dmy' THEN num.a ELSE num.b END END AS d,
+    CASE WHEN iso.y <> '' THEN iso.r WHEN ordinal.y <> '' THEN ordinal.r WHEN basic.y <> '' THEN basic.h || ':' || basic.i || ':' || basic.s || basic.r
+      WHEN named.y <> '' THEN named.r WHEN num.a <> '' THEN num.r END AS r FROM dated
+), clocked AS (
+  SELECT *, regexp_extract(r, '^(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d{1,6}))?)?(?: ?([AP]M))? ?([A-Za-z]*)(?:([+-])(\d\d):?(\d\d))?$', ['h', 'i', 's', 'f', 'ap', 'z', 'sign', 'oh', 'om']) AS k,
+    CASE WHEN ordinal.y <> '' THEN TRY(make_date(TRY_CAST(ordinal.y AS BIGINT), 1, 1) + (TRY_CAST(ordinal.j AS INT) - 1)) ELSE TRY(make_date(TRY_CAST(y AS BIGINT), TRY_CAST(m AS BIGINT), TRY_CAST(d AS BIGINT))) END AS day FROM placed
+), timed AS (
+  SELECT *, regexp_full_match(t, '\d{10}|\d{13}|\d{16}') AS is_count, upper(k.z) AS zn,
+    CASE WHEN k.ap = '' THEN TRY_CAST(k.h AS BIGINT) WHEN k.ap = 'AM' THEN TRY_CAST(k.h AS BIGINT) % 12 ELSE TRY_CAST(k.h AS BIGINT) % 12 + 12 END AS h,
+    epoch_us(day::TIMESTAMP) + (CASE WHEN k.ap = '' THEN TRY_CAST(k.h AS BIGINT) WHEN k.ap = 'AM' THEN TRY_CAST(k.h AS BIGINT) % 12 ELSE TRY_CAST(k.h AS BIGINT) % 12 + 12 END * 3600 + TRY_CAST(k.i AS BIGINT) * 60
+      + coalesce(TRY_CAST(k.s AS BIGINT), 0)) * 1000000 + rpad(CASE WHEN k.f = '' THEN '0' ELSE k.f END, 6, '0')::BIGINT AS local FROM (SELECT * FROM clocked WHERE day IS NOT NULL AND k.h <> '' OR regexp_full_match(t, '\d{10}|\d{13}|\d{16}'))
+), sane AS (
+  SELECT * FROM timed WHERE is_count OR (h <= 23 OR (h = 24 AND local % 86400000000 = 0)) AND TRY_CAST(k.i AS BIGINT) <= 59 AND coalesce(TRY_CAST(k.s AS BIGINT), 0) <= 59
+    AND (named.w = '' OR named.w = ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(day)])
+), shifts AS (SELECT unnest(['CET', 'CEST', 'EST', 'EDT', 'NZST', 'NZDT', 'NST', 'NDT']) AS zn, unnest([60, 120, -300, -240, 720, 780, -210, -150]) AS minutes
+), fixed AS (
+  SELECT raw_id, station_ref, CASE WHEN is_count THEN TRY_CAST(t AS BIGINT) * CASE length(t) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END
+    WHEN k.sign <> '' THEN local - (TRY_CAST(k.oh AS BIGINT) * 60 + TRY_CAST(k.om AS BIGINT)) * CASE k.sign WHEN '-' THEN -60000000 ELSE 60000000 END
+    WHEN zn IN ('Z', 'UTC', 'GMT') THEN local
+    WHEN zn = '' AND regexp_full_match(zone, '[+-]\d\d:\d\d') THEN local - (TRY_CAST(zone[2:3] AS BIGINT) * 60 + TRY_CAST(zone[5:6] AS BIGINT)) * CASE zone[1] WHEN '-' THEN -60000000 ELSE 60000000 END END AS us FROM sane
+), offsets AS (SELECT unnest(range(-840, 841, 15))::BIGINT AS minutes
+), zoned AS (
+  SELECT s.raw_id, s.station_ref, s.local - o.minutes * 60000000 AS us FROM sane s JOIN offsets o ON TRUE LEFT JOIN shifts z ON z.zn = s.zn
+  WHERE NOT s.is_count AND s.k.sign = '' AND zone IS NOT NULL AND NOT regexp_full_match(zone, '[+-]\d\d:\d\d') AND (s.zn = '' OR z.minutes = o.minutes)
+    AND timezone(zone, make_timestamptz(s.local - o.minutes * 60000000)) = make_timestamp(s.local)
+), instants AS (
+  SELECT raw_id, station_ref, us FROM fixed WHERE us IS NOT NULL
+  UNION ALL SELECT raw_id, station_ref, min(us) FROM zoned GROUP BY ALL HAVING count(*) = 1
+)"""
+SQL["p4_found"] = f"""{_TIMES} SELECT a.raw_id AS raw_id_a, b.raw_id AS raw_id_b FROM instants a JOIN instants b ON a.station_ref = b.station_ref AND a.us = b.us AND a.raw_id < b.raw_id"""
