@@ -12,7 +12,7 @@ the runs that cross tiles; a second pass, again by tile, finds the faults. No gr
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +39,18 @@ NO_SPIKES = ("precipitation",)
 ZEROS_ORDINARY = ("precipitation", "streamflow")
 
 
+def _shrunk(x: np.ndarray, by: float) -> np.ndarray:
+    """x with its singular values made smaller by `by`, through the eigenvectors of the smaller Gram matrix."""
+    wide = x.shape[1] > x.shape[0]
+    a = x.T if wide else x
+    w, v = np.linalg.eigh(a.T @ a)
+    s = np.sqrt(np.maximum(w, 0))
+    keep = s > by
+    v = v[:, keep]
+    out = ((a @ v) * (1 - by / s[keep])) @ v.T
+    return out.T if wide else out
+
+
 def robust_components(x: np.ndarray, rounds: int = 40, tol: float = 1e-4) -> np.ndarray:
     """Low-rank part of x (NaN: no reading) by principal component pursuit with an augmented Lagrangian.
 
@@ -50,13 +62,12 @@ def robust_components(x: np.ndarray, rounds: int = 40, tol: float = 1e-4) -> np.
     if norm == 0:
         return data
     lam = 1 / np.sqrt(max(x.shape))
-    mu = 1.25 / np.linalg.norm(data, 2)
-    dual = data / max(np.linalg.norm(data, 2), np.abs(data).max() / lam)
+    top = np.sqrt(np.linalg.eigvalsh(data.T @ data if data.shape[1] <= data.shape[0] else data @ data.T)[-1])
+    mu = 1.25 / top
+    dual = data / max(top, np.abs(data).max() / lam)
     sparse = np.zeros_like(data)
     for _ in range(rounds):
-        u, s, vt = np.linalg.svd(data - sparse + dual / mu, full_matrices=False)
-        s = np.maximum(s - 1 / mu, 0)
-        low = (u * s) @ vt
+        low = _shrunk(data - sparse + dual / mu, 1 / mu)
         data[gone] = low[gone]
         rest = data - low + dual / mu
         sparse = np.sign(rest) * np.maximum(np.abs(rest) - lam / mu, 0)
@@ -146,10 +157,11 @@ _SUMMARY = (
 )
 
 
-def _summary(group: pd.DataFrame) -> pd.DataFrame:
-    g = group.sort_values("us")
-    us, v = g["us"].to_numpy(), g["value"].to_numpy()
-    zero_ok = bool(g["zero_ok"].iloc[0])
+def _summary(group: pa.Table) -> pa.Table:
+    us, v = group["us"].to_numpy(), group["value"].to_numpy()
+    order = np.argsort(us)
+    us, v = us[order], v[order]
+    zero_ok = group["zero_ok"][0].as_py()
     d = np.abs(np.diff(v)).round(9)
     steps, step_n = np.unique(d[d > 0], return_counts=True)
     starts = _pieces(v)
@@ -157,14 +169,15 @@ def _summary(group: pd.DataFrame) -> pd.DataFrame:
     inner = slice(1, -1)
     counted = length[inner][~(zero_ok & (v[starts][inner] == 0))]
     runs, run_n = np.unique(counted, return_counts=True)
-    ends = [(float(v[0]), int(length[0]))] + ([(float(v[-1]), int(length[-1]))] if len(starts) > 1 else [])
-    pairs = lambda a, b: [{"us": int(x), "value": float(y)} for x, y in zip(a, b)]
-    row = {
-        "station_ref": g["station_ref"].iloc[0], "tile": g["tile"].iloc[0], "n": len(v), "zero_ok": zero_ok, "no_spikes": bool(g["no_spikes"].iloc[0]),
-        "head": pairs(us[:HALO], v[:HALO]), "tail": pairs(us[-HALO:], v[-HALO:]),
-        "steps": steps.tolist(), "step_n": step_n.tolist(), "runs": runs.tolist(), "run_n": run_n.tolist(), "ends": [{"value": x, "n": n} for x, n in ends],
+    ends = [0] if len(starts) == 1 else [0, -1]
+    one = lambda x, kind: pa.ListArray.from_arrays([0, len(x)], pa.array(x, kind))
+    two = lambda **c: pa.ListArray.from_arrays([0, len(next(iter(c.values())))], pa.StructArray.from_arrays([pa.array(x) for x in c.values()], list(c)))
+    columns = {
+        "station_ref": group["station_ref"][:1].combine_chunks(), "tile": group["tile"][:1].combine_chunks(), "n": pa.array([len(v)]), "zero_ok": pa.array([zero_ok]), "no_spikes": group["no_spikes"][:1].combine_chunks(),
+        "head": two(us=us[:HALO], value=v[:HALO]), "tail": two(us=us[-HALO:], value=v[-HALO:]), "steps": one(steps, pa.float64()), "step_n": one(step_n, pa.int64()), "runs": one(runs, pa.int64()), "run_n": one(run_n, pa.int64()),
+        "ends": two(value=v[starts][ends], n=length[ends]),
     }
-    return pd.DataFrame([row])
+    return pa.table(columns)
 
 
 def usual_steps(steps: DataFrame) -> DataFrame:
@@ -195,25 +208,27 @@ def stuck_limits(runs: DataFrame) -> DataFrame:
 _FAULTS = "station_ref string, us bigint, value double, reason string"
 
 
-def _faults(group: pd.DataFrame) -> pd.DataFrame:
-    mark = group[group["part"] == 1]
-    g = group[group["part"] != 1].sort_values("us")
-    us, v, core = g["us"].to_numpy(), g["value"].to_numpy(), g["part"].to_numpy() == 0
-    m = mark.iloc[0]
+def _faults(group: pa.Table) -> pa.Table:
+    part, us, v = (group[c].to_numpy() for c in ("part", "us", "value"))
+    mark = group.slice(int(np.flatnonzero(part == 1)[0]), 1).to_pylist()[0]
+    order = np.argsort(us, kind="stable")
+    order = order[part[order] != 1]
+    us, v, core = us[order], v[order], part[order] == 0
     spike = np.zeros(len(v), bool)
-    step = float(m["usual_step"])
-    if not m["no_spikes"] and step > 0 and len(v) > 2:
+    step = mark["usual_step"]
+    if not mark["no_spikes"] and step > 0 and len(v) > 2:
         large = profile_residuals(us, v, step) >= SPARSE_STEPS
-        near = np.convolve(large, np.ones(2 * MAX_SPIKE + 3), "same") > 0
+        near = np.convolve(large, np.ones(2 * MAX_SPIKE + 3))[MAX_SPIKE + 1 :][: len(v)] > 0
         spike = spikes(v, step, near)
     us, v, spike = us[core], v[core], spike[core]
     starts = _pieces(v)
     length = np.diff(np.r_[starts, len(v)])
     total = length.copy()
-    total[0], total[-1] = m["first_run"], m["last_run"]
-    long = (total >= m["stuck_from"]) & ~(bool(m["zero_ok"]) & (v[starts] == 0))
+    total[0], total[-1] = mark["first_run"], mark["last_run"]
+    long = (total >= mark["stuck_from"]) & ~(mark["zero_ok"] & (v[starts] == 0))
     stuck = np.repeat(long, length)
-    return pd.concat([pd.DataFrame({"station_ref": m["station_ref"], "us": us[f], "value": v[f], "reason": why}) for f, why in ((spike, "spike"), (stuck, "stuck"))], ignore_index=True)
+    n = int(spike.sum() + stuck.sum())
+    return pa.table({"station_ref": pa.array([mark["station_ref"]] * n, pa.string()), "us": np.r_[us[spike], us[stuck]], "value": np.r_[v[spike], v[stuck]], "reason": pa.array(["spike"] * int(spike.sum()) + ["stuck"] * int(stuck.sum()), pa.string())})
 
 
 def implausible_readings(current: DataFrame, station_variables: DataFrame, encodings: DataFrame, tile_days: int = TILE_DAYS) -> DataFrame:
@@ -234,7 +249,7 @@ def implausible_readings(current: DataFrame, station_variables: DataFrame, encod
     flag = lambda names: F.coalesce(F.col("variable").isin(*names), F.lit(False))
     rows = materialize(rows.select("station_ref", "us", "value", inside.alias("inside"), flag(ZEROS_ORDINARY).alias("zero_ok"), flag(NO_SPIKES).alias("no_spikes"), steps_of(F.col("us"), tile_days * DAY_US).alias("tile")), "readings")
     sound = rows.filter("inside").drop("inside")
-    tiles = materialize(sound.groupBy("station_ref", "tile").applyInPandas(_summary, _SUMMARY), "tiles")
+    tiles = materialize(sound.groupBy("station_ref", "tile").applyInArrow(_summary, _SUMMARY), "tiles")
 
     w = Window.partitionBy("station_ref").orderBy("tile")
     chain = tiles.select("station_ref", "tile", "zero_ok", F.posexplode("ends").alias("at", "end")).select("station_ref", "tile", "at", "zero_ok", "end.value", "end.n")
@@ -262,7 +277,7 @@ def implausible_readings(current: DataFrame, station_variables: DataFrame, encod
     halo = marks.select("station_ref", "tile", F.explode(F.concat("before", "after")).alias("h"), "zero_ok", "no_spikes").select("station_ref", "tile", "h.us", "h.value", F.lit(2).alias("part"), "zero_ok", "no_spikes").withColumns(blank)
     core = sound.select("station_ref", "tile", "us", "value", F.lit(0).alias("part"), "zero_ok", "no_spikes").withColumns(blank)
     columns = ["station_ref", "tile", "us", "value", "part", *shared]
-    found = core.select(columns).unionByName(halo.select(columns)).unionByName(none.select(columns)).groupBy("station_ref", "tile").applyInPandas(_faults, _FAULTS)
+    found = core.select(columns).unionByName(halo.select(columns)).unionByName(none.select(columns)).groupBy("station_ref", "tile").applyInArrow(_faults, _FAULTS)
     return rows.filter("NOT inside").select("station_ref", "us", "value", F.lit("range").alias("reason")).unionByName(found)
 
 
