@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import need
+from gaugeflow.session import materialize
 
 #: Zone names that may be asked for at once; the tables of all IANA zones are a few MB.
 MOST_ZONES = 1000
@@ -298,6 +299,7 @@ def same_instants(times: DataFrame) -> DataFrame:
     is spread over tasks by AQE's skew join; the pairs are the result asked for, so none is left out.
     """
     t = need(times, "raw_id", "station_ref", "instant_us").filter("raw_id IS NOT NULL AND station_ref IS NOT NULL AND instant_us IS NOT NULL")
+    t = materialize(t, "instants")  # texts are parsed once, not once a side
     # ids of keys that occur once don't take part in the join
     many = t.groupBy("station_ref", "instant_us").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     a = t.join(many, ["station_ref", "instant_us"], "left_semi")
