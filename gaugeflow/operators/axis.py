@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import steps_of
+from gaugeflow.operators.neighbours import with_neighbours
+
+#: Steps that one row makes at a time.
+CHUNK_STEPS = 10_000
 
 
 def axis_bounds(slots: DataFrame, step_us: int, us: str = "us") -> DataFrame:
@@ -28,18 +32,28 @@ def last_of_slot(slots: DataFrame, planes: list[str], key: str = "station_ref",
 def dense_grid(stations: DataFrame, facts: DataFrame, axis: DataFrame, step_us: int, planes: list[str], key: str = "station_ref", us: str = "us") -> DataFrame:
     """(key, us, planes): every station at every step of the axis (one row of axis_bounds), null where nothing is stored.
 
-    Stations without facts are there too. Axis steps are made where the stations are, not shuffled.
+    Stations without facts are there too; null keys are not. Steps are made where the stations are, CHUNK_STEPS at a
+    time, so that the axis is in no row as a whole.
     """
-    grid = stations.select(key).distinct().join(F.broadcast(axis.filter("n_steps > 0")))  # the axis is one row
-    grid = grid.select(key, F.explode(F.sequence("t0_us", "tn_us", F.lit(step_us).cast("bigint"))).alias(us))
+    a = axis.first()
+    n = a["n_steps"] if a else 0
+    grid = stations.select(key).filter(F.col(key).isNotNull()).distinct()
+    if not n:
+        return grid.select(key, F.lit(None).cast("bigint").alias(us), *[F.lit(None).cast(t).alias(c) for c, t in facts.select(*planes).dtypes]).limit(0)
+    whole, first = F.lit(a["tn_us"]), F.explode(F.sequence(F.lit(a["t0_us"]), F.lit(a["tn_us"]), F.lit(CHUNK_STEPS * step_us).cast("bigint"))).alias("_from")
+    grid = grid.select(key, first).select(key, F.explode(F.sequence("_from", F.least(F.col("_from") + (CHUNK_STEPS - 1) * step_us, whole), F.lit(step_us).cast("bigint"))).alias(us))
     return grid.join(facts.select(key, us, *planes), [key, us], "left")
 
 
 def gap_steps(slots: DataFrame, step_us: int, key: str = "station_ref", us: str = "us") -> DataFrame:
-    """(key, us, gap_steps): stored steps after which steps are missing up to the next stored one, and how many."""
-    w = Window.partitionBy(key).orderBy(us)
-    d = slots.select(key, us).distinct().withColumn("gap_steps", steps_of(F.lead(us).over(w) - F.col(us), step_us) - 1)
-    return d.filter("gap_steps > 0")
+    """(key, us, gap_steps): stored steps after which steps are missing up to the next stored one, and how many.
+
+    Repeated slots count once; null keys and times are left out.
+    """
+    near = with_neighbours(slots.select(key, us).dropna().distinct(), key, us, [], 1)
+    w = Window.partitionBy(key, "tile").orderBy(us)
+    d = near.withColumn("gap_steps", steps_of(F.lead(us).over(w) - F.col(us), step_us) - 1)
+    return d.filter("is_core AND gap_steps > 0").select(key, us, "gap_steps")
 
 
 def supplied(incoming: DataFrame, planes: list[str]) -> DataFrame:

@@ -237,12 +237,12 @@ def implausible_readings(current: DataFrame, station_variables: DataFrame, encod
     current: (station_ref, us, value), one row a time. station_variables: (station_ref, variable). encodings: (variable,
     min_value, max_value). A value outside the bounds (which are allowed), or infinite, is 'range'; the others, in time
     order, are tested for spikes (not in NO_SPIKES) and for runs of one value (zeros of ZEROS_ORDINARY are ordinary). A
-    source of unknown variable has no bounds; a null bound isn't one. A source without any step has no spikes. Null and
+    source of unknown variable has no bounds (of two variables or bounds the higher stands); a null bound isn't one. A source without any step has no spikes. Null and
     NaN values and null times are left out.
     """
     rows = need(current, "station_ref", "us", "value").select("station_ref", "us", known("value").alias("value")).filter("station_ref IS NOT NULL AND us IS NOT NULL AND value IS NOT NULL")
-    bounds = need(encodings, "variable", "min_value", "max_value").filter("variable IS NOT NULL").dropDuplicates(["variable"])
-    kinds = need(station_variables, "station_ref", "variable").filter("station_ref IS NOT NULL").dropDuplicates(["station_ref"]).join(bounds, "variable", "left")
+    bounds = need(encodings, "variable", "min_value", "max_value").filter("variable IS NOT NULL").groupBy("variable").agg(F.max(F.struct("min_value", "max_value")).alias("_b")).select("variable", "_b.min_value", "_b.max_value")
+    kinds = need(station_variables, "station_ref", "variable").filter("station_ref IS NOT NULL").groupBy("station_ref").agg(F.max("variable").alias("variable")).join(bounds, "variable", "left")
     rows = lookup_join(rows, kinds, ["station_ref"], "left")
     inf = float("inf")
     inside = (F.abs("value") < inf) & (F.col("value") >= F.coalesce(F.col("min_value"), F.lit(-inf))) & (F.col("value") <= F.coalesce(F.col("max_value"), F.lit(inf)))

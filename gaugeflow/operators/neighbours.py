@@ -13,9 +13,9 @@ def with_neighbours(rows: DataFrame, key: str, at: str, values: list[str], reach
 
     Each tile of a key also gets copies, not is_core, of the `reach` rows right before and right after it in the order
     of `at`, whatever tiles they are in. Windows partitioned by (key, tile) are then exact for core rows as far as they
-    look at most `reach` rows away; no window holds more than a tile.
+    look at most `reach` rows away; no window holds more than a tile. Rows with a null key or place are left out.
     """
-    r = need(rows, key, at, *values).withColumn("tile", steps_of(F.col(at), tile_us))
+    r = need(rows, key, at, *values).filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("tile", steps_of(F.col(at), tile_us))
     part = Window.partitionBy(key, "tile")
     ranked = r.withColumns({"_up": F.row_number().over(part.orderBy(at)), "_down": F.row_number().over(part.orderBy(F.desc(at)))})
     row = F.struct(at, *values)
