@@ -59,7 +59,7 @@ def hole_flags(spark, d):
 
 
 def _resampled(spark, d, **args):
-    return _ntz(resample(_events(spark, d), key="event_type", **args)).withColumn("value", F.round("value", 6))
+    return _ntz(resample(_events(spark, d), key="event_type", **args)).withColumn("value", F.round("value", 9))
 
 
 def resample_stations_1h(spark, d):
@@ -222,7 +222,7 @@ def _segments(prep: str) -> str:
 )"""
 
 
-def _mean_sql(f: int, hole: str = "med * 3.0", cover: float = 0.75, prep: str = _PREP, digits: int = 6) -> str:
+def _mean_sql(f: int, hole: str = "med * 3.0", cover: float = 0.75, prep: str = _PREP, digits: int = 9) -> str:
     return f"""WITH {_segments(prep)}, bins AS (
   SELECT *, unnest(range({_FLOOR("t", f)}, t1, {f})) AS b FROM meds WHERE d <= {hole}
 ), cut AS (SELECT *, greatest(t, b) AS a, least(t1, b + {f}) AS e FROM bins
@@ -235,7 +235,7 @@ def _sum_sql(f: int, cover: float = 0.75) -> str:
     return f"""WITH {_segments(_PREP)}, spans AS (
   SELECT p.k, p.t, p.v, coalesce(least(p.t - q.t, q.med), o.med, 0) AS span
   FROM prep p LEFT JOIN meds q ON q.k = p.k AND q.t1 = p.t LEFT JOIN meds o ON o.k = p.k AND o.t = p.t AND o.t_1 IS NULL
-) SELECT k AS series_key, make_timestamp({_FLOOR("(t - 1)", f)}) AS ts, round(sum(v), 6) AS value FROM spans GROUP BY ALL HAVING least(sum(span), {f}) >= {cover} * {f}"""
+) SELECT k AS series_key, make_timestamp({_FLOOR("(t - 1)", f)}) AS ts, round(sum(v), 9) AS value FROM spans GROUP BY ALL HAVING least(sum(span), {f}) >= {cover} * {f}"""
 
 
 _SLOTS = f"""slots AS (
@@ -279,7 +279,6 @@ SQL: dict[str, str] = {
     "resample_sum_6h_cov0": _sum_sql(6 * HOUR, 0),
     "resample_stations_1h": _mean_sql(
         HOUR,
-        digits=9,
         prep="""SELECT station_ref AS k, us AS t, value AS v FROM (
   SELECT s.station_ref, epoch_us(s.ts) AS us, s.value, row_number() OVER (PARTITION BY s.station_ref, s.ts ORDER BY d.arrived_at DESC NULLS LAST, s.delivery_id DESC, s.pos DESC) AS rn
   FROM series s LEFT JOIN deliveries d USING (delivery_id) WHERE (s.value IS NOT NULL AND NOT isnan(s.value)) OR (s.quality_code IS NOT NULL AND NOT isnan(s.quality_code))
