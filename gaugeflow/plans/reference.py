@@ -15,6 +15,7 @@ from gaugeflow.operators.resample import gap_threshold, prepare, resample, segme
 from gaugeflow.session import shared_dir
 from gaugeflow.sources.dataset import Dataset, build_local, merge_dataset
 from gaugeflow.sources.publish import Catalogue
+from gaugeflow.sources.series import series_from_arrays as unpack_series
 from gaugeflow.sources.tables import table
 from gaugeflow.streaming.merge import merge_stream
 
@@ -40,6 +41,14 @@ def drop_missing(spark, d):
     return s.select("station_ref", "pos", "delivery_id", us_of("ts").alias("us"), finite("value").alias("value")).filter("us IS NOT NULL AND value IS NOT NULL")
 
 
+def series_from_arrays(spark, d):
+    """The lines of each order as one series, packed into arrays (an order has a few lines) and taken apart again."""
+    line = F.struct("l_linenumber", "l_shipdate", "l_quantity", "l_tax")
+    packed = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    packed = packed.select("l_orderkey", F.col("lines.l_shipdate").alias("times"), F.col("lines.l_quantity").alias("values"), F.col("lines.l_tax").alias("tax"))
+    return unpack_series(packed, "l_orderkey", extras=("tax",)).select("station_ref", "pos", us_of("ts").alias("us"), "value", "tax")
+
+
 def dup_collapse(spark, d):
     li = table(spark, d, "lineitem").withColumn("key", F.col("l_suppkey").cast("string"))
     return prepare(li, "key", "l_shipdate", "l_quantity").withColumn("value", F.round("value", 6))
@@ -203,7 +212,7 @@ _ARGS = {
     "resample_sum_6h_cov0": {"freq": "6h", "statistic": "sum", "min_coverage": 0},
 }
 _PLAIN = (
-    drop_missing, dup_collapse, round_to_1min, local_median, hole_flags, resample_stations_1h, qc_counts, axis_bounds, dense_grid, gap_steps, alignment_violations, unknown_refs,
+    drop_missing, series_from_arrays, dup_collapse, round_to_1min, local_median, hole_flags, resample_stations_1h, qc_counts, axis_bounds, dense_grid, gap_steps, alignment_violations, unknown_refs,
     active_stations, new_stations, merge_overlay, altitude_qc, dataset_build, dataset_merge, dataset_merge_twice, merge_report, publish_entry, stream_merge,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _PLAIN} | {k: partial(_resampled, **a) for k, a in _ARGS.items()} | {"qc_filter": _qc}
@@ -262,6 +271,7 @@ _RANKED = "SELECT s.*, row_number() OVER (PARTITION BY station_ref ORDER BY arri
 
 SQL: dict[str, str] = {
     "drop_missing": "SELECT station_ref, pos, delivery_id, epoch_us(ts) AS us, value FROM series WHERE ts IS NOT NULL AND value IS NOT NULL AND isfinite(value)",
+    "series_from_arrays": "SELECT l_orderkey AS station_ref, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_quantity, l_tax) - 1)::INT AS pos, epoch_us(l_shipdate::TIMESTAMP) AS us, l_quantity AS value, l_tax AS tax FROM lineitem",
     "dup_collapse": "SELECT l_suppkey::VARCHAR AS series_key, epoch_us(l_shipdate::TIMESTAMP) AS us, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY ALL",
     "round_to_1min": f"SELECT event_type AS series_key, {_FLOOR('(epoch_us(ts) + 30000000)', 60_000_000)} AS us, round(avg(value), 6) AS value FROM events GROUP BY ALL",
     "local_median": f"WITH {_segments(_PREP)} SELECT k AS series_key, t AS us, d, med FROM meds",

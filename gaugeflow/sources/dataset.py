@@ -88,7 +88,7 @@ class Dataset:
 
     @property
     def step_us(self) -> int:
-        return cadence_us(self.manifest["attributes"]["envlib_frequency_interval"])
+        return cadence_us(self.manifest["attributes"]["meta_frequency_interval"])
 
     @property
     def planes(self) -> list[str]:
@@ -207,7 +207,7 @@ def build_local(path: str, meta: dict, stations: DataFrame, series: DataFrame, *
         "bounds": {"value": [min_value, max_value]} | {a: [x.get("min"), x.get("max")] for a, x in ancillary.items()},
         "variables": {variable: {"units": units, "standard_name": standard_name, "ancillary_variables": " ".join(ancillary)} | (extra_var_attrs or {}) | {"valid_min": min_value, "valid_max": max_value}}
         | {a: {"units": x.get("units")} | x.get("attrs", {}) | {"valid_min": x.get("min"), "valid_max": x.get("max")} for a, x in ancillary.items()},
-        "attributes": {f"envlib_{k}": v for k, v in meta.items()},
+        "attributes": {f"meta_{k}": v for k, v in meta.items()},
     }
     bounds, anc = _bounds(manifest)
     qc = qc_filter(rows, bounds, anc)
@@ -238,7 +238,7 @@ def merge_dataset(ds: Dataset, stations: DataFrame, series: DataFrame) -> tuple[
     """
     spark, m = ds.spark, ds.manifest
     step = ds.step_us
-    check_phase(m["attributes"].get("envlib_utc_offset"), step)
+    check_phase(m["attributes"].get("meta_utc_offset"), step)
     zero = dict.fromkeys(REPORT, 0)
     wanted = {k: v for k, v in STATION_ATTRS.items() if m["has_altitude"] or k != "station_altitude"}
     new = m | {"variables": m["variables"] | wanted}

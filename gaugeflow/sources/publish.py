@@ -22,7 +22,7 @@ class Catalogue:
 
     def validate(self, ds: Dataset) -> dict:
         """metadata, dataset_version_id, state and standard_name of a dataset; ValueError if it lacks what is needed."""
-        meta = {k.removeprefix("envlib_"): v for k, v in ds.manifest["attributes"].items()}
+        meta = {k.removeprefix("meta_"): v for k, v in ds.manifest["attributes"].items()}
         gone = [k for k in self.NEEDED if not meta.get(k)]
         if gone:
             raise ValueError(f"metadata lacks {', '.join(gone)}")

@@ -79,3 +79,15 @@ def test_guards(spark):
         quality.check_refs(s, st)
     with pytest.raises(ValueError, match="undeclared ancillaries: code, tile"):
         quality.check_roster(s.drop("us"), ["other"])
+
+
+def test_series_from_arrays(spark):
+    from gaugeflow.sources.series import series_from_arrays
+
+    schema = "station_ref string, times array<long>, values array<double>, code array<double>, pos string"
+    df = spark.createDataFrame([("a", [5, 6], [1.0, None], [7.0, 8.0], "x"), ("b", [], [], None, "x"), ("c", None, [1.0], [1.0], "x"), ("d", [9], [2.0], None, "x")], schema)
+    got = [tuple(r) for r in series_from_arrays(df, extras=("code",)).orderBy("station_ref", "pos").collect()]
+    assert got == [("a", 0, 5, 1.0, 7.0), ("a", 1, 6, None, 8.0), ("d", 0, 9, 2.0, None)]
+    for bad in (("e", [1, 2], [1.0], None, "x"), ("e", [], [], [1.0], "x"), ("e", [1], None, None, "x")):
+        with pytest.raises(Exception, match="unlike length in series e"):
+            series_from_arrays(spark.createDataFrame([bad], schema), extras=("code",)).collect()

@@ -54,7 +54,7 @@ def view(ds, plane="value"):
 def test_build(spark, base):
     assert view(base) == {"A": [1, 2, 3, 4], "B": [10, 11, 12, 13]}
     assert base.manifest["axis"] | {} == base.manifest["axis"] and base.axis()[1:] == (3_600_000_000, 4)
-    assert base.manifest["axis"]["time_unit"] == "h" and base.manifest["attributes"]["envlib_owner"] == "x"
+    assert base.manifest["axis"]["time_unit"] == "h" and base.manifest["attributes"]["meta_owner"] == "x"
     assert "station_altitude" not in base.manifest["variables"]
 
 
