@@ -51,3 +51,8 @@ def test_without_the_text_operators():
 
 def test_names():
     assert set(SQL) <= set(entry.queries())
+
+
+def test_entry(spark, data):
+    df = entry.entry(spark)
+    assert df.columns == ["series_key", "ts", "value"] and df.count() > 0
