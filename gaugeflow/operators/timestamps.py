@@ -2,16 +2,29 @@
 
 Each text is reduced to a shape mask of character classes (d digit, a letter, else the character). A distinct mask is
 turned into a parser once; the parser is a set of column slices, since all texts of one mask have their fields at the
-same places. Fields are read and checked as whole arrays, and local times are converted through tables of zone
-transitions that are built once, on the driver, and carry the version of the zone data.
+same places. Fields are read and checked as whole arrays, and local times are converted through versioned tables of zone
+transitions (zones.py) that are built once, on the driver.
+
+The grammar; blanks may be of any kind and number, [] may be left out, | stands between choices:
+
+    text    = date sep clock [zone] | count
+    date    = yyyy-m-d | yyyy-ddd | yyyy-Www-d | yyyymmdd | n/n/n | n.n.n | n-n-n
+            | [weekday[,]] d month yyyy|yy (parted by blanks or '-') | [weekday[,]] month d[,] yyyy
+    sep     = blank | 'T' | ', ' (after n/n/n and its like) | nothing (after yyyymmdd)
+    clock   = h:mm[:ss[fraction]] [AM|PM] | hhmm[ss[fraction]] (after yyyymmdd);  24:00 is the end of the day
+    fraction= '.' or ',' and 1 to 9 digits
+    zone    = Z | UTC | GMT | UT | an abbreviation of the row's zone | [UTC|GMT] ±hh[[:]mm]
+    also      weekday month d clock [abbreviation] yyyy
+    count   = 10 digits[fraction] | 13 | 16 digits: s, ms, µs since 1970
+    month, weekday: English, three letters or whole ('Sept' too), any case, with or without a point
+
+A date without clock names a day, not an instant. A leap second (ss = 60) has no instant of its own in this count.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
-from pathlib import Path
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,158 +32,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import need
+from gaugeflow.operators.joins import lookup_join
+from gaugeflow.operators.zones import ZoneTables, zone_tables
 from gaugeflow.session import materialize
 
 #: Zone names that may be asked for at once; the tables of all IANA zones are a few MB.
 MOST_ZONES = 1000
-#: Texts of more characters name no instant.
-LONGEST_TEXT = 64
+#: No text of the grammar is longer than this, once its blanks are single ones.
+LONGEST_TEXT = 80
 
 #: English months, weekdays from Monday, halves of the day, and names of UTC.
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 HALVES = {"am": 0, "pm": 12}
 UTC_NAMES = ("Z", "UTC", "GMT", "UT")
+_MONTH_OF = {x[:k]: i + 1 for i, x in enumerate(MONTHS) for k in (3, len(x))} | {"sept": 9}
+_WEEKDAY_OF = {x[:k]: i for i, x in enumerate(WEEKDAYS) for k in (3, len(x))}
 #: Separators that are written in several ways.
 ALIKE = {0x2212: "-", 0x2010: "-", 0x2011: "-", 0x2013: "-", 0xA0: " ", 0x202F: " ", 0x2009: " ", 0x3000: " ", 0x09: " ", 0x0A: " ", 0x0D: " "}
 
 _CLOCK = r"(?P<h>d{1,2}):(?P<mi>dd)(?::(?P<s>dd)(?:[.,](?P<f>d{1,9}))?)?"
-_TAIL = r"(?: ?(?P<w1>a{1,5}))?(?: (?P<w2>a{1,5}))?(?: ?(?P<sign>[+-])(?P<oh>dd):?(?P<om>dd))?"
-_FORMS = [
-    re.compile(rf"(?P<y>dddd)-(?P<mo>d{{1,2}})-(?P<d>d{{1,2}})(?: |(?P<t>a)){_CLOCK}{_TAIL}"),
-    re.compile(rf"(?P<y>dddd)-(?P<doy>ddd)(?: |(?P<t>a)){_CLOCK}{_TAIL}"),
+_TAIL = r"(?: ?(?P<w1>a{1,5}))?(?: (?P<w2>a{1,5}))?(?: ?(?P<sign>[+-])(?P<oh>dd)(?::?(?P<om>dd))?)?"
+_WEEKDAY = r"(?:(?P<wd>a{3,9})\.?,? )?"
+_SEP = r"(?: |(?P<t>a))"
+_DATES = [
+    (r"(?P<y>dddd)-(?P<mo>d{1,2})-(?P<d>d{1,2})", _SEP),
+    (r"(?P<y>dddd)-(?P<doy>ddd)", _SEP),
+    (r"(?P<y>dddd)-(?P<week>add)-(?P<wday>d)", _SEP),
+    (r"(?P<p1>d{1,2}|dddd)([/.-])(?P<p2>d{1,2})\2(?P<p3>d{1,2}|dddd)", ",? "),
+    (rf"{_WEEKDAY}(?P<d>d{{1,2}})[- ](?P<mon>a{{3,9}})\.?[- ](?P<y>dddd|dd)", ",? "),
+    (rf"{_WEEKDAY}(?P<mon>a{{3,9}})\.? (?P<d>d{{1,2}}),? (?P<y>dddd)", ",? "),
+]
+_FORMS = [re.compile(date + sep + _CLOCK + _TAIL) for date, sep in _DATES] + [
     re.compile(rf"(?P<y>dddd)(?P<mo>dd)(?P<d>dd)(?:(?P<t>a)| )?(?P<h>dd)(?P<mi>dd)(?:(?P<s>dd)(?:[.,](?P<f>d{{1,9}}))?)?{_TAIL}"),
+    re.compile(rf"(?P<wd>a{{3,9}}) (?P<mon>a{{3,9}}) (?P<d>d{{1,2}}) {_CLOCK}(?: (?P<w1>a{{1,5}}))? (?P<y>dddd)"),
     re.compile(r"(?P<n10>d{10})(?:[.,](?P<f>d{1,9}))?"),
     re.compile(r"(?P<n13>d{13})"),
     re.compile(r"(?P<n16>d{16})"),
-    re.compile(rf"(?P<p1>d{{1,2}}|dddd)([/.-])(?P<p2>d{{1,2}})\2(?P<p3>d{{1,2}}|dddd),? {_CLOCK}{_TAIL}"),
-    re.compile(rf"(?:(?P<wd>a{{3}}),? )?(?P<d>d{{1,2}})[- ](?P<mon>aaa)[- ](?P<y>dddd|dd) {_CLOCK}{_TAIL}"),
 ]
-_CLASS = str.maketrans({c: "d" for c in "0123456789"} | {chr(c): "a" for r in ((65, 91), (97, 123)) for c in range(*r)})
-_SPACES = re.compile(" {2,}")
-_PARSERS: dict[str, dict[str, tuple[int, int]] | None] = {}
-
-
-def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
-    """Where a mask has its fields; None if it is no known shape."""
-    if mask not in _PARSERS:
-        found = next((m for f in _FORMS if (m := f.fullmatch(mask))), None)
-        _PARSERS[mask] = found and {k: found.span(k) for k, v in found.groupdict().items() if v is not None}
-    return _PARSERS[mask]
-
-
-@dataclass(frozen=True)
-class Zone:
-    """Stretches of constant offset: starts (UTC µs, first the lowest int), offsets in µs, names."""
-
-    starts: np.ndarray
-    offsets: np.ndarray
-    names: np.ndarray
-
-
-@dataclass(frozen=True)
-class ZoneTables:
-    """Transitions of named zones between two years, and the version of the zone data they come from."""
-
-    version: str
-    zones: dict[str, Zone | None]
-
-
-def zone_version() -> str:
-    """Version of the zone data on this machine, or 'unknown'."""
-    import zoneinfo
-
-    for folder in zoneinfo.TZPATH:
-        for name, form in (("+VERSION", r"(\S+)"), ("tzdata.zi", r"# version (\S+)"), ("version", r"(\S+)")):
-            p = Path(folder, name)
-            if p.is_file() and (m := re.match(form, p.open().readline())):
-                return m[1]
-    try:
-        import tzdata
-
-        return tzdata.IANA_VERSION
-    except ImportError:
-        return "unknown"
-
-
-def _zone(name: str, first_year: int, last_year: int) -> Zone | None:
-    low = np.iinfo("int64").min
-    if m := re.fullmatch(r"([+-])(\d\d):?(\d\d)", name):
-        off = (int(m[2]) * 60 + int(m[3])) * 60_000_000 * (-1 if m[1] == "-" else 1)
-        return Zone(np.array([low]), np.array([off]), np.array([""], object))
-    import zoneinfo
-
-    try:
-        z = zoneinfo.ZoneInfo(name)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
-        return None
-    at = lambda s: (lambda t: (t.utcoffset() // timedelta(microseconds=1), t.tzname()))(datetime.fromtimestamp(s, UTC).astimezone(z))
-    s, end = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (first_year, last_year + 1))
-    starts, kinds = [low], [at(s)]
-    while s < end:
-        n = s + 86_400
-        if at(n) != kinds[-1]:
-            lo, hi = s, n
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if at(mid) == kinds[-1] else (lo, mid)
-            starts.append(hi * 1_000_000)
-            kinds.append(at(hi))
-        s = n
-    return Zone(np.array(starts), np.array([k[0] for k in kinds]), np.array([k[1] for k in kinds], object))
-
-
-def zone_tables(names: list[str], first_year: int = 1999, last_year: int = 2039) -> ZoneTables:
-    """Transition tables of IANA zones and fixed offsets ('+05:30'); None for a name that is neither."""
-    return ZoneTables(zone_version(), {n: _zone(n, first_year, last_year) for n in names})
-
-
-def _local_to_utc(local: np.ndarray, zone: Zone, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(instants, how many instants fit) of local times; where names isn't '', only stretches of that name fit."""
-    ends = np.r_[zone.starts[1:], np.iinfo("int64").max]
-    begins = np.r_[np.iinfo("int64").min, zone.starts[1:] + zone.offsets[1:]]
-    k = np.searchsorted(begins, local, side="right") - 1
-    us, fits = np.zeros(len(local), "int64"), np.zeros(len(local), int)
-    for c in (k - 1, k, k + 1):
-        in_ = (c >= 0) & (c < len(ends))
-        c = np.clip(c, 0, len(ends) - 1)
-        t = local - zone.offsets[c]
-        ok = in_ & (t >= zone.starts[c]) & (t < ends[c]) & ((names == "") | (zone.names[c] == names))
-        us = np.where(ok, t, us)
-        fits += ok
-    return us, fits
-
-
-def _words(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
-    return np.ascontiguousarray(chars[:, span[0] : span[1]]).view(f"U{span[1] - span[0]}").ravel().astype(object)
+_ONLY_DATE = [re.compile(date) for date, _ in _DATES]
+#: Class of an ASCII code; anything else is '?', which no form has.
+_CLASSES = np.array([ord("d" if chr(c) in "0123456789" else "a" if chr(c).isascii() and chr(c).isalpha() else chr(c) if 0 < c < 128 else "?") for c in range(129)], "u1")
+_CLASSES[0] = 0
+_PLAIN = re.compile("[!-~]+(?: [!-~]+)*")
+_BLANKS = re.compile(" {2,}")
+_SOME_DAY = "some day"
+
+
+@lru_cache(maxsize=4096)
+def parser_of(mask: str) -> dict[str, tuple[int, int]] | str | None:
+    """Where a mask has its fields; 'some day' for a date without clock; None if it is no known shape."""
+    found = next((m for f in _FORMS if (m := f.fullmatch(mask))), None)
+    if found:
+        return {k: found.span(k) for k, v in found.groupdict().items() if v is not None}
+    return _SOME_DAY if any(f.fullmatch(mask) for f in _ONLY_DATE) else None
+
+
+def _cleaned(t: object) -> str:
+    """A text with single plain blanks; '' if it isn't one, '?' if it is longer than any that names an instant."""
+    if not isinstance(t, str):
+        return ""
+    if not _PLAIN.fullmatch(t):
+        t = _BLANKS.sub(" ", t.translate(ALIKE)).strip()
+    return t if len(t) <= LONGEST_TEXT else "?"
+
+
+def _days_of_month(year: np.ndarray, month: np.ndarray) -> np.ndarray:
+    """First day of the month, in days since 1970."""
+    return ((year - 1970).astype("datetime64[Y]").astype("datetime64[M]") + (month - 1).astype("timedelta64[M]")).astype("datetime64[D]").astype("int64")
 
 
 def parse_times(texts: pd.Series, zones: pd.Series, orders: pd.Series, tables: ZoneTables) -> pd.DataFrame:
     """us and state of each text; see normalise_times."""
     n = len(texts)
-    clean = [_SPACES.sub(" ", t.translate(ALIKE)).strip() if isinstance(t, str) and len(t) <= LONGEST_TEXT else "" for t in texts]
-    masks = pd.factorize(np.array([t.translate(_CLASS) for t in clean], object))
-    order = orders.fillna("").to_numpy(object)
-    f = {k: np.zeros(n, "int64") for k in ("y", "mo", "d", "doy", "h", "mi", "s", "us", "off", "count")}
+    clean = [_cleaned(t) for t in texts]
+    width = max(map(len, clean), default=0) or 1
+    codes = np.array(clean, f"U{width}").view("uint32").reshape(n, width)
+    codes_, masks = pd.factorize(_CLASSES[np.minimum(codes, 128)].view(f"S{width}").ravel().astype(object))
+    order = orders.to_numpy(object)
+    f = {k: np.zeros(n, "int64") for k in ("y", "mo", "d", "doy", "h", "mi", "s", "us", "off", "count", "week", "wday")}
     name = np.full(n, "", object)
-    half, wday = np.full(n, -1), np.full(n, -1)
-    ok, is_count, is_doy, has_off = (np.zeros(n, bool) for _ in range(4))
-    by_mask = np.argsort(masks[0], kind="stable")
-    cuts = np.searchsorted(masks[0][by_mask], np.arange(len(masks[1]) + 1))
-    for m, mask in enumerate(masks[1]):
-        p = parser_of(mask)
+    half, weekday = np.full(n, -1), np.full(n, -1)
+    ok, is_count, is_doy, is_week, has_off, is_day = (np.zeros(n, bool) for _ in range(6))
+    by_mask = np.argsort(codes_, kind="stable")
+    cuts = np.searchsorted(codes_[by_mask], np.arange(len(masks) + 1))
+    for m, mask in enumerate(masks):
+        p = parser_of(mask.decode())
         if p is None:
             continue
         rows = by_mask[cuts[m] : cuts[m + 1]]
-        chars = np.array([clean[i] for i in rows], f"U{len(mask)}").view("uint32").reshape(len(rows), len(mask))
-        num = lambda k: (chars[:, p[k][0] : p[k][1]].astype("int64") - 48) @ 10 ** np.arange(p[k][1] - p[k][0] - 1, -1, -1)  # noqa: E731, B023
+        if p is _SOME_DAY:
+            is_day[rows] = True
+            continue
+        chars = codes[rows, : len(mask)]
+        digits = chars.astype("int64") - 48
+        num = lambda k: digits[:, p[k][0] : p[k][1]] @ 10 ** np.arange(p[k][1] - p[k][0] - 1, -1, -1)  # noqa: E731, B023
+        words = lambda k: [clean[i][p[k][0] : p[k][1]] for i in rows.tolist()]  # noqa: E731, B023
         good = np.ones(len(rows), bool)
-        for k in ("y", "mo", "d", "doy", "h", "mi", "s"):
+        for k in ("y", "mo", "d", "doy", "h", "mi", "s", "wday"):
             if k in p:
                 f[k][rows] = num(k)
         if "f" in p:
-            digits = p["f"][1] - p["f"][0]
-            f["us"][rows] = num("f") * 10 ** (6 - digits) if digits <= 6 else num("f") // 10 ** (digits - 6)
+            places = p["f"][1] - p["f"][0]
+            f["us"][rows] = num("f") * 10 ** (6 - places) if places <= 6 else num("f") // 10 ** (places - 6)
         for k, unit in (("n10", 1_000_000), ("n13", 1000), ("n16", 1)):
             if k in p:
                 f["count"][rows], is_count[rows] = num(k) * unit + f["us"][rows], True
@@ -178,13 +142,16 @@ def parse_times(texts: pd.Series, zones: pd.Series, orders: pd.Series, tables: Z
             good &= np.isin(chars[:, p["t"][0]], (84, 116))
         if "doy" in p:
             is_doy[rows] = True
+        if "week" in p:
+            good &= np.isin(chars[:, p["week"][0]], (87, 119))
+            is_week[rows], f["week"][rows] = True, digits[:, p["week"][0] + 1] * 10 + digits[:, p["week"][0] + 2]
         if "p1" in p:
             a, b, c = (num(k) for k in ("p1", "p2", "p3"))
             o = order[rows]
             first_long, last_long = (p[k][1] - p[k][0] == 4 for k in ("p1", "p3"))
             ymd = (o == "ymd") & (not last_long) | first_long
             mdy = ~ymd & ((o == "mdy") | (o == "ymd"))
-            good &= np.isin(o, ("ymd", "mdy", "dmy")) | first_long
+            good &= (o == "ymd") | (o == "mdy") | (o == "dmy") | first_long
             good &= not (first_long and last_long)
             f["y"][rows] = np.where(ymd, a, c)
             f["mo"][rows] = np.where(ymd, b, np.where(mdy, a, b))
@@ -194,24 +161,24 @@ def parse_times(texts: pd.Series, zones: pd.Series, orders: pd.Series, tables: Z
         elif "y" in p and p["y"][1] - p["y"][0] == 2:
             f["y"][rows] += 2000
         if "mon" in p:
-            low = pd.Series(_words(chars, p["mon"])).str.lower()
-            f["mo"][rows] = low.map({x: i + 1 for i, x in enumerate(MONTHS)}).fillna(0).to_numpy("int64")
+            f["mo"][rows] = [_MONTH_OF.get(w.lower(), 0) for w in words("mon")]
         if "wd" in p:
-            wday[rows] = pd.Series(_words(chars, p["wd"])).str.lower().map({x: i for i, x in enumerate(WEEKDAYS)}).fillna(99).to_numpy(int)
+            weekday[rows] = [_WEEKDAY_OF.get(w.lower(), 99) for w in words("wd")]
         if "sign" in p:
-            minutes = num("oh") * 60 + num("om")
-            good &= (num("om") < 60) & (minutes <= 18 * 60)
+            om = num("om") if "om" in p else 0
+            minutes = num("oh") * 60 + om
+            good &= (om < 60) & (minutes <= 18 * 60)
             f["off"][rows] = minutes * np.where(chars[:, p["sign"][0]] == 45, -60_000_000, 60_000_000)
             has_off[rows] = True
         for k in ("w1", "w2"):
             if k in p:
-                w = pd.Series(_words(chars, p[k]))
-                h = w.str.lower().map(HALVES)
-                zulu = w.str.upper().isin(UTC_NAMES).to_numpy()
-                good &= ~((h.notna().to_numpy() & (half[rows] >= 0)) | (h.isna().to_numpy() & ((name[rows] != "") | has_off[rows])))
-                half[rows] = np.where(h.notna(), h.fillna(0), half[rows]).astype(int)
+                w = words(k)
+                h = np.array([HALVES.get(x.lower(), -1) for x in w])
+                word, zulu = h < 0, np.array([x.upper() in UTC_NAMES for x in w])
+                good &= ~((~word & (half[rows] >= 0)) | (word & (name[rows] != "")) | (word & ~zulu & has_off[rows]))
+                half[rows] = np.where(word, half[rows], h)
+                name[rows] = np.where(word & ~zulu, np.array(w, object), name[rows])
                 has_off[rows] |= zulu
-                name[rows] = np.where(h.isna() & ~zulu, w, name[rows])
         ok[rows] = good
     h12 = half >= 0
     ok &= ~h12 | ((f["h"] >= 1) & (f["h"] <= 12))
@@ -222,14 +189,19 @@ def parse_times(texts: pd.Series, zones: pd.Series, orders: pd.Series, tables: Z
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
     month = np.clip(f["mo"], 1, 12)
     longest = np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[month - 1] + (leap & (month == 2))
-    ymd_ok = (f["mo"] >= 1) & (f["mo"] <= 12) & (f["d"] >= 1) & (f["d"] <= longest)
-    ok &= is_count | ((f["y"] >= 1) & np.where(is_doy, (f["doy"] >= 1) & (f["doy"] <= 365 + leap), ymd_ok))
-    months = (year - 1970).astype("datetime64[Y]").astype("datetime64[M]") + np.where(is_doy, 0, month - 1).astype("timedelta64[M]")
-    day = months.astype("datetime64[D]").astype("int64") + np.where(is_doy, f["doy"], f["d"]) - 1
-    ok &= (wday < 0) | ((day + 3) % 7 == wday)
+    first = _days_of_month(year, np.where(is_doy | is_week, 1, month))
+    # the week of 4 January is the first; a year has 53 if it begins or ends on a Thursday
+    starts = (first + 3) % 7
+    week_one = first - starts + np.where(starts <= 3, 0, 7)
+    weeks = 52 + ((starts == 3) | (leap & (starts == 2)))
+    in_month = (f["mo"] >= 1) & (f["mo"] <= 12) & (f["d"] >= 1) & (f["d"] <= longest)
+    in_weeks = (f["week"] >= 1) & (f["week"] <= weeks) & (f["wday"] >= 1) & (f["wday"] <= 7)
+    ok &= is_count | ((f["y"] >= 1) & np.where(is_doy, (f["doy"] >= 1) & (f["doy"] <= 365 + leap), np.where(is_week, in_weeks, in_month)))
+    day = np.where(is_week, week_one + (f["week"] - 1) * 7 + f["wday"], first + np.where(is_doy, f["doy"], f["d"])) - 1
+    ok &= (weekday < 0) | ((day + 3) % 7 == weekday)
     local = ((day * 24 + hour) * 60 + f["mi"]) * 60_000_000 + f["s"] * 1_000_000 + f["us"]
     us = np.where(is_count, f["count"], local - f["off"])
-    state = np.where(ok, "ok", "unreadable").astype(object)
+    state = np.where(ok, "ok", np.where(is_day, "no clock time", "unreadable")).astype(object)
     rest = np.flatnonzero(ok & ~is_count & ~has_off)
     zone_codes, zone_names = pd.factorize(zones.iloc[rest])
     for i, z in enumerate(zone_names):
@@ -238,23 +210,22 @@ def parse_times(texts: pd.Series, zones: pd.Series, orders: pd.Series, tables: Z
         if table is None:
             state[r] = "no zone"
             continue
-        t, fits = _local_to_utc(local[r], table, name[r])
+        t, fits = table.local_to_utc(local[r], name[r])
         us[r] = t
         state[r] = np.where(fits == 1, "ok", np.where(fits == 0, "no such time", "ambiguous"))
     state[rest[zone_codes < 0]] = "no zone"
-    given = pd.Series([isinstance(t, str) and t != "" for t in clean])
-    state[~given.to_numpy()] = "no text"
-    state[[isinstance(t, str) and len(t) > LONGEST_TEXT for t in texts]] = "unreadable"
-    return pd.DataFrame({"us": pd.array(np.where(state == "ok", us, 0), "Int64").copy(), "state": state}).assign(us=lambda d: d["us"].mask(d["state"] != "ok"))
+    state[np.array([t == "" for t in clean], bool)] = "no text"
+    out = pd.DataFrame({"us": pd.array(np.where(state == "ok", us, 0), "Int64"), "state": state})
+    return out.assign(us=out["us"].mask(out["state"] != "ok"))
 
 
 def normalise_times(rows: DataFrame, tables: ZoneTables, text: str = "time_text", zone: str = "zone_name", order: str = "date_order") -> DataFrame:
     """rows with instant_us BIGINT, time_state and zone_version STRING.
 
-    time_state: 'ok'; 'no text' (null or blank); 'unreadable' (no known form, or no such date or clock time);
-    'no zone' (local time of an unknown zone); 'no such time' (skipped by a change of the clocks, or a zone name the
-    zone doesn't use then); 'ambiguous' (a repeated hour). instant_us is null unless 'ok'. Nothing is rounded; digits
-    beyond the microsecond are cut off.
+    time_state: 'ok'; 'no text' (null or blank); 'no clock time' (a date alone); 'unreadable' (not of the grammar above,
+    or no such date or clock time); 'no zone' (local time of an unknown zone); 'no such time' (skipped by a change of
+    the clocks, or a zone name the zone doesn't use then); 'ambiguous' (a repeated hour). instant_us is null unless
+    'ok'. Nothing is rounded; digits beyond the microsecond are cut off. Years 1 to 9999, each by the zone's offsets then.
 
     A text without zone or offset is local time of the row's zone; a pair of numbers for day and month follows the row's
     order (dmy, mdy, ymd; null: unreadable), unless a four-digit year comes first; two-digit years are 20xx; bare counts
@@ -285,24 +256,37 @@ def delivered_times(raw: DataFrame, feeds: DataFrame) -> DataFrame:
 
     A null or unlisted feed has neither; of a feed listed twice one row stands (the highest).
     """
-    from gaugeflow.operators.joins import lookup_join
-
     one = need(feeds, "feed_id", "zone_name", "date_order").filter("feed_id IS NOT NULL").groupBy("feed_id").agg(F.max(F.struct("zone_name", "date_order")).alias("_f"))
     one = one.select("feed_id", F.col("_f.zone_name").alias("zone_name"), F.col("_f.date_order").alias("date_order"))
     return normalise_times(lookup_join(need(raw, "raw_id", "feed_id", "station_ref", "time_text"), one, ["feed_id"], "left"), feed_zone_tables(feeds))
 
 
+_KEY = ["station_ref", "instant_us"]
+
+
+def _placed(times: DataFrame) -> DataFrame:
+    t = need(times, "raw_id", *_KEY)
+    return t.filter("raw_id IS NOT NULL AND station_ref IS NOT NULL AND instant_us IS NOT NULL")
+
+
+def instant_classes(times: DataFrame) -> DataFrame:
+    """(raw_id, class_id, n_links): of each record that shares its instant with another of its station, the smallest id
+    among them and how many others there are. times as for same_instants, ids unique. Grows with the records, not the pairs."""
+    t = materialize(_placed(times), "instants")
+    classes = t.groupBy(*_KEY).agg(F.min("raw_id").alias("class_id"), (F.count("*") - 1).alias("n_links")).filter("n_links > 0")
+    return t.join(classes, _KEY).select("raw_id", "class_id", "n_links")
+
+
 def same_instants(times: DataFrame) -> DataFrame:
     """(raw_id_a, raw_id_b): records of one station that name the same instant, the smaller id first.
 
-    times: (raw_id, station_ref, instant_us); records with a null in either are in no pair. A key with very many records
-    is spread over tasks by AQE's skew join; the pairs are the result asked for, so none is left out.
+    times: (raw_id, station_ref, instant_us), ids unique; a repeated row counts once, a record with a null is in no pair.
+    A key with very many records is spread over tasks by AQE's skew join; the pairs are the result asked for, so none is
+    left out (instant_classes has them in a row each).
     """
-    t = need(times, "raw_id", "station_ref", "instant_us").filter("raw_id IS NOT NULL AND station_ref IS NOT NULL AND instant_us IS NOT NULL")
-    t = materialize(t, "instants")  # texts are parsed once, not once a side
+    t = materialize(_placed(times), "instants")  # texts are parsed once, not once a side
     # ids of keys that occur once don't take part in the join
-    many = t.groupBy("station_ref", "instant_us").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    a = t.join(many, ["station_ref", "instant_us"], "left_semi")
-    b = a.select("station_ref", "instant_us", F.col("raw_id").alias("raw_id_b"))
-    pairs = a.withColumnRenamed("raw_id", "raw_id_a").join(b, ["station_ref", "instant_us"])
-    return pairs.filter("raw_id_a < raw_id_b").select("raw_id_a", "raw_id_b").distinct()
+    many = t.groupBy(*_KEY).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    a = t.join(many, _KEY, "left_semi").dropDuplicates([*_KEY, "raw_id"])  # placed by the key already: no further shuffle
+    b = a.select(*_KEY, F.col("raw_id").alias("raw_id_b"))
+    return a.withColumnRenamed("raw_id", "raw_id_a").join(b, _KEY).filter("raw_id_a < raw_id_b").select("raw_id_a", "raw_id_b")

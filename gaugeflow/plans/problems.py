@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.columns import DAY_US
+from gaugeflow.functions.columns import DAY_US, us_of
 from gaugeflow.operators.current import current_series, current_stations, deployment_periods, station_rows, supplied_readings, usable_readings
 from gaugeflow.operators.implausible import implausible_altitudes, implausible_readings
-from gaugeflow.operators.incremental import changed, pending_intervals, with_pending
+from gaugeflow.operators.incremental import IntervalLedger, changed, delivery_intervals, intervals_of, pending_intervals, touched_by, with_pending, within
 from gaugeflow.operators.regular_grid import regular_grid
 from gaugeflow.operators.rolling import station_rolling_totals
-from gaugeflow.operators.timestamps import delivered_times, same_instants
+from gaugeflow.operators.timestamps import delivered_times, instant_classes, same_instants
+from gaugeflow.session import shared_dir
 from gaugeflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +66,11 @@ def p2_regular_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Times and stations that are new or changed against what was processed."""
-    deliveries, log = table(spark, d, "deliveries"), table(spark, d, "run_log")
-    s = changed(with_pending(supplied_readings(table(spark, d, "series"), deliveries), deliveries, log), ["station_ref", "us"], ["arrived_us", "delivery_id", "pos"], ["value", "code"])
-    t = changed(with_pending(station_rows(table(spark, d, "stations"), deliveries), deliveries, log), ["station_ref"], ["arrived_us", "loaded_us"], ["lon", "lat", "name", "altitude"])
+    deliveries = table(spark, d, "deliveries")
+    intervals = delivery_intervals(deliveries, table(spark, d, "run_log"))
+    readings = supplied_readings(table(spark, d, "series"), deliveries)
+    s = changed(with_pending(touched_by(readings, intervals, "station_ref", "us"), intervals), ["station_ref", "us"], ["arrived_us", "delivery_id", "pos"], ["value", "code"])
+    t = changed(with_pending(station_rows(table(spark, d, "stations"), deliveries), intervals), ["station_ref"], ["arrived_us", "loaded_us"], ["lon", "lat", "name", "altitude"])
     return s.select(F.lit("series").alias("table_name"), "station_ref", F.col("us").alias("at_us")).unionByName(t.select(F.lit("stations").alias("table_name"), "station_ref", F.lit(-1).cast("bigint").alias("at_us")))
 
 
@@ -75,6 +79,39 @@ def p3_pending_intervals(spark: SparkSession, d: str) -> DataFrame:
     return pending_intervals(table(spark, d, "deliveries"), table(spark, d, "run_log")).select("lo", "hi")
 
 
+def p3_ledger_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What a ledger processes in runs over the deliveries: (run, lo, hi, n_rows), n_rows being the rows of `series` of
+    the deliveries lo to hi; run 0 is what it holds at the end.
+
+    Run 1 finds the deliveries of the first half of the time, whose ids are full of gaps. Run 2 finds all and fails. Run 3
+    finds the same and gets exactly those that came late or new; run 4 finds nothing to do.
+    """
+    deliveries, series = table(spark, d, "deliveries"), table(spark, d, "series")
+    arrived = deliveries.select("delivery_id", us_of("arrived_at").alias("us"))
+    r = arrived.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+    early = intervals_of(arrived.filter(F.col("us") <= (r["lo"] + r["hi"]) // 2), "delivery_id")
+    everything = intervals_of(arrived, "delivery_id")
+    ledger = IntervalLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    rows_of = lambda p: within(series.select("station_ref", "ts", "delivery_id"), p, "delivery_id")
+
+    def fails(pending: DataFrame) -> DataFrame:
+        raise RuntimeError("lost")
+
+    done = {1: ledger.run(early, rows_of)}
+    try:
+        ledger.run(everything, fails)
+    except RuntimeError:
+        pass
+    done[3], done[4] = ledger.run(everything, rows_of), ledger.run(everything, rows_of)
+    out = ledger.processed().withColumn("run", F.lit(0))
+    for run, version in done.items():
+        out = out if version is None else out.unionByName(ledger.pending(version).withColumn("run", F.lit(run)))
+    n = within(ledger.outputs().groupBy("delivery_id").agg(F.count("*").alias("n")), ledger.processed(), "delivery_id")
+    held = [within(n, out.filter(F.col("run") == r), "delivery_id", ("lo", "hi", "run")) for r in (0, 1, 3)]
+    counted = held[0].unionByName(held[1]).unionByName(held[2]).groupBy("run", "lo", "hi").agg(F.sum("n").alias("n_rows"))
+    return out.join(counted, ["run", "lo", "hi"], "left").select("run", "lo", "hi", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 def _times(spark: SparkSession, d: str) -> DataFrame:
     return delivered_times(table(spark, d, "raw_series"), table(spark, d, "feeds"))
 
@@ -89,6 +126,11 @@ def p4_normalised_times(spark: SparkSession, d: str) -> DataFrame:
     return _times(spark, d).select("raw_id", "instant_us", "time_state")
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Records that share their instant: the smallest id among them and the number of links, a row each."""
+    return instant_classes(_times(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Faulty values and altitudes."""
     deliveries, stations = table(spark, d, "deliveries"), table(spark, d, "stations")
@@ -102,7 +144,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_rolling_totals, p2_found, p2_regular_grid, p3_found, p3_pending_intervals, p4_found, p4_normalised_times, p5_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_rolling_totals, p2_found, p2_regular_grid, p3_found, p3_pending_intervals, p3_ledger_runs, p4_found, p4_normalised_times, p4_classes, p5_found)}
 
 _SUPPLIED = """supplied AS (
   SELECT s.station_ref, epoch_us(s.ts) AS us, CASE WHEN NOT isnan(s.value) THEN s.value END AS value,
@@ -165,7 +207,15 @@ UNION ALL SELECT 'stations', n.station_ref, -1 FROM st_now n LEFT JOIN st_old o
 WHERE o.delivery_id IS NULL OR o.lon IS DISTINCT FROM n.lon OR o.lat IS DISTINCT FROM n.lat OR o.name IS DISTINCT FROM n.name OR o.altitude IS DISTINCT FROM n.altitude""",
     "p3_pending_intervals": """WITH pending AS (
   SELECT delivery_id AS id FROM deliveries WHERE delivery_id NOT IN (SELECT delivery_id FROM run_log WHERE run_status = 'succeeded')
-) SELECT min(id) AS lo, max(id) AS hi FROM (SELECT id, id - row_number() OVER (PARTITION BY id // 65536 ORDER BY id) AS g, id // 65536 AS page FROM pending) GROUP BY page, g""",
+) SELECT min(id) AS lo, max(id) AS hi FROM (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM pending) GROUP BY g""",
+    "p3_ledger_runs": """WITH middle AS (SELECT (min(epoch_us(arrived_at)) + max(epoch_us(arrived_at))) // 2 AS us FROM deliveries),
+first AS (SELECT DISTINCT delivery_id AS id FROM deliveries, middle WHERE epoch_us(arrived_at) <= us),
+found AS (
+  SELECT 0 AS run, delivery_id AS id FROM (SELECT DISTINCT delivery_id FROM deliveries)
+  UNION ALL SELECT 1, id FROM first UNION ALL SELECT 3, delivery_id FROM (SELECT DISTINCT delivery_id FROM deliveries) WHERE delivery_id NOT IN (SELECT id FROM first)
+), counted AS (SELECT delivery_id AS id, count(*) AS n FROM series GROUP BY 1
+), islands AS (SELECT run, id, id - row_number() OVER (PARTITION BY run ORDER BY id) AS g, coalesce(n, 0) AS n FROM found LEFT JOIN counted USING (id))
+SELECT run, min(id) AS lo, max(id) AS hi, sum(n)::BIGINT AS n_rows FROM islands GROUP BY run, g""",
 }
 SQL["p5_found"] = f"""WITH {_CURRENT}, kinds AS (
   SELECT station_ref, variable, min_value, max_value FROM (
@@ -255,3 +305,9 @@ _TIMES = r"""WITH cleaned AS (
   UNION ALL SELECT raw_id, station_ref, min(us) FROM zoned GROUP BY ALL HAVING count(*) = 1
 )"""
 SQL["p4_found"] = f"""{_TIMES} SELECT a.raw_id AS raw_id_a, b.raw_id AS raw_id_b FROM instants a JOIN instants b ON a.station_ref = b.station_ref AND a.us = b.us AND a.raw_id < b.raw_id"""
+_STATES = f"""{_TIMES}, fitting AS (SELECT raw_id, count(*) AS n FROM zoned GROUP BY 1)
+SELECT c.raw_id, i.us AS instant_us, CASE WHEN c.t IS NULL OR c.t = '' THEN 'no text' WHEN i.us IS NOT NULL THEN 'ok' WHEN s.raw_id IS NULL THEN 'unreadable' WHEN s.zone IS NULL THEN 'no zone'
+  WHEN f.n IS NULL THEN 'no such time' ELSE 'ambiguous' END AS time_state
+FROM cleaned c LEFT JOIN instants i USING (raw_id) LEFT JOIN sane s USING (raw_id) LEFT JOIN fitting f USING (raw_id)"""
+SQL["p4_normalised_times"] = _STATES
+SQL["p4_classes"] = f"""{_TIMES} SELECT raw_id, min(raw_id) OVER w AS class_id, count(*) OVER w - 1 AS n_links FROM instants WINDOW w AS (PARTITION BY station_ref, us) QUALIFY count(*) OVER w > 1"""

@@ -10,11 +10,12 @@ import pytest
 
 from gaugeflow.operators.current import current_series, current_stations
 from gaugeflow.operators.implausible import implausible_altitudes, implausible_readings, robust_components, spikes
-from gaugeflow.operators.incremental import CommitConflict, IntervalLedger, changed, intervals_of, members, merge, pending_intervals, subtract
+from gaugeflow.operators.incremental import CommitConflict, IntervalLedger, changed, delivery_intervals, intervals_of, members, merge, pending_intervals, subtract, touched_by, with_pending, within
 from gaugeflow.operators.joins import lookup_join
 from gaugeflow.operators.regular_grid import regular_grid
 from gaugeflow.operators.rolling import rolling_totals, station_rolling_totals
-from gaugeflow.operators.timestamps import normalise_times, parse_times, same_instants, zone_tables
+from gaugeflow.operators.timestamps import instant_classes, normalise_times, parse_times, parser_of, same_instants
+from gaugeflow.operators.zones import zone_tables
 
 DAY = 86_400_000_000
 HOUR = DAY // 24
@@ -166,14 +167,50 @@ def held(df):
     return sorted(r.id for r in members(df, "id").collect())
 
 
-def test_interval_algebra(spark):
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_interval_algebra(spark, partitions):
     a = {*range(-3, 9), *range(65_530, 65_545), 200_000}
     b = {0, 1, 5, 65_535, 65_536, 65_544, 900_000}
-    ia, ib = intervals_of(ids(spark, [*a, *a, None]), "id"), intervals_of(ids(spark, b), "id")
-    assert held(ia) == sorted(a) and held(subtract(ia, ib)) == sorted(a - b) and held(merge(ia, ib)) == sorted(a | b)
-    assert {(r.lo, r.hi) for r in merge(subtract(ia, ib), ib).collect()} == {(-3, -1), (0, 8), (65_530, 65_535), (65_536, 65_544), (200_000, 200_000), (900_000, 900_000)}
-    none = intervals_of(ids(spark, []), "id")
-    assert held(subtract(none, ia)) == [] and held(subtract(ia, none)) == sorted(a)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ia, ib = intervals_of(ids(spark, [*a, *a, None]), "id"), intervals_of(ids(spark, b), "id")
+        assert held(ia) == sorted(a) and held(subtract(ia, ib)) == sorted(a - b) and held(merge(ia, ib)) == sorted(a | b)
+        assert {(r.lo, r.hi) for r in ia.collect()} == {(-3, 8), (65_530, 65_544), (200_000, 200_000)}
+        assert {(r.lo, r.hi) for r in merge(subtract(ia, ib), ib).collect()} == {(-3, 8), (65_530, 65_544), (200_000, 200_000), (900_000, 900_000)}
+        none = intervals_of(ids(spark, []), "id")
+        assert held(subtract(none, ia)) == [] and held(subtract(ia, none)) == sorted(a)
+        far = spark.createDataFrame([(-(1 << 62), -1), (0, 1 << 62)], "lo long, hi long")
+        assert [tuple(r) for r in merge(far, none).collect()] == [(-(1 << 62), 1 << 62)]
+        assert {tuple(r) for r in subtract(far, ib).collect()} >= {(-(1 << 62), -1), (2, 4), (900_001, 1 << 62)}
+        rng = random.Random(2)
+        numbers = [rng.randint(0, 300) for _ in range(250)]
+        other = [rng.randint(0, 300) for _ in range(80)]
+        assert held(subtract(intervals_of(ids(spark, numbers), "id"), intervals_of(ids(spark, other), "id"))) == sorted(set(numbers) - set(other))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_within(spark):
+    iv = spark.createDataFrame([(-5, -2, "a"), (0, 0, "b"), (10, 4000, "c"), (5000, 5001, "d")], "lo long, hi long, kind string")
+    rows = spark.createDataFrame([(n, 7, 8) for n in (-6, -5, -2, -1, 0, 1, 9, 10, 2047, 2048, 4000, 4001, 5001, 5001, None)], "n int, lo int, hi int")
+    want = sorted([(-5, "a"), (-2, "a"), (0, "b"), (10, "c"), (2047, "c"), (2048, "c"), (4000, "c"), (5001, "d"), (5001, "d")])
+    got = within(rows, iv, "n", ("kind",))
+    assert got.columns == ["n", "lo", "hi", "kind"] and sorted((r.n, r.kind) for r in got.collect()) == want
+    assert within(rows, iv.limit(0), "n", ("kind",)).count() == within(rows.limit(0), iv, "n").count() == 0
+
+
+def test_touched_keys_are_kept_however_they_are_found(spark):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(rng.choice("abc"), rng.randint(-40, 40) * DAY // 2, rng.randint(0, 20), i) for i in range(300)], "k string, us long, delivery_id long, v int")
+    d = spark.createDataFrame([(i,) for i in range(20)], "delivery_id long")
+    log = spark.createDataFrame([(i, "succeeded") for i in range(21) if i not in (3, 11)], "delivery_id long, run_status string")
+    iv = delivery_intervals(d, log)
+    whole = {tuple(r) for r in changed(with_pending(rows, iv), ["k", "us"], ["delivery_id"], ["v"]).collect()}
+    for most in (1 << 20, 600, 0):
+        assert {tuple(r) for r in changed(with_pending(touched_by(rows, iv, "k", "us", most), iv), ["k", "us"], ["delivery_id"], ["v"]).collect()} == whole
+    assert whole and touched_by(rows, iv, "k", "us").count() < rows.count() == touched_by(rows, iv, "k", "us", 0).count()
 
 
 def test_pending_needs_a_success(spark):
@@ -211,9 +248,25 @@ def test_ledger_survives_failures_and_late_numbers(spark, tmp_path):
 
     with pytest.raises(CommitConflict):
         ledger.run(available(range(1, 8)), overtaken)
+    assert sorted((r.lo, r.hi) for r in ledger.pending(2).collect()) == [(3, 3), (5, 5)]
     assert sorted(r.id for r in ledger.outputs().collect()) == list(range(1, 8))
 
 
+def test_ledger_skips_nothing_that_comes_while_it_runs(spark, tmp_path):
+    source, ledger = f"{tmp_path}/source", IntervalLedger(spark, f"{tmp_path}/ledger")
+    add = lambda lo, hi: ids(spark, range(lo, hi)).write.mode("append").parquet(source)
+    available = lambda: intervals_of(spark.read.parquet(source), "id")
+    add(0, 5)
+
+    def process(p):
+        add(5, 9)
+        return members(p, "id")
+
+    assert ledger.run(available(), process) == 1 and held(ledger.processed()) == [0, 1, 2, 3, 4]
+    assert ledger.run(available(), lambda p: members(p, "id")) == 2
+    assert sorted(r.id for r in ledger.outputs().collect()) == list(range(9))
+
+
 # --- p4
 
 TABLES = zone_tables(["Europe/Berlin", "Asia/Kolkata", "+12:00", "America/New_York", "Nowhere/Land"])
@@ -246,6 +299,23 @@ def one(text, zone=None, order="dmy"):
         ("Tue, 05 Mar 2024 06:07:08 +0000", None, "dmy", "2024-03-05 06:07:08"),
         ("2024-03-05T24:00", "+12:00", "dmy", "2024-03-05 12:00:00"),
         ("2024-02-29 00:00Z", None, "dmy", "2024-02-29 00:00:00"),
+        ("2024-03-05T06:07+02", None, None, "2024-03-05 04:07:00"),
+        ("2024-03-05 06:07 UTC+02:00", None, None, "2024-03-05 04:07:00"),
+        ("July 1, 2021 12:00", "Europe/Berlin", None, "2021-07-01 10:00:00"),
+        ("Thursday, 1 July 2021 12:00 PM", "+12:00", None, "2021-07-01 00:00:00"),
+        ("Thu Jul  1 12:00:00 2021", "+12:00", None, "2021-07-01 00:00:00"),
+        ("2 Sept. 2021 12:00", "+12:00", None, "2021-09-02 00:00:00"),
+        ("2021-W01-1T00:00Z", None, None, "2021-01-04 00:00:00"),
+        ("2020-W53-7T00:00Z", None, None, "2021-01-03 00:00:00"),
+        ("2021-W53-1T00:00Z", None, None, "unreadable"),
+        ("2024-03-05", "+12:00", "dmy", "no clock time"),
+        ("05/03/2024", "+12:00", "dmy", "no clock time"),
+        ("2016-12-31T23:59:60Z", None, None, "unreadable"),
+        ("1985-07-01 12:00", "Europe/Berlin", None, "1985-07-01 10:00:00"),
+        ("2045-07-01 12:00", "Europe/Berlin", None, "2045-07-01 10:00:00"),
+        ("1998-07-01 12:00 CEST", "Europe/Berlin", None, "1998-07-01 10:00:00"),
+        ("2024-03-05T06:07:08Z" + " " * 60, None, None, "2024-03-05 06:07:08"),
+        ("2024-03-05" + " " * 5000 + "06:07:08Z", None, None, "2024-03-05 06:07:08"),
         ("27.10.2024, 02:30", "Europe/Berlin", "dmy", "ambiguous"),
         ("31.03.2024, 02:30", "Europe/Berlin", "dmy", "no such time"),
         ("5-Jul-2024 06:07:08 CET", "Europe/Berlin", "dmy", "no such time"),
@@ -270,11 +340,13 @@ def test_times(text, zone, order, want):
     assert (got if isinstance(got, str) else got.isoformat(" ")) == want
 
 
-@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/St_Johns", "Australia/Lord_Howe", "Pacific/Chatham"])
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/St_Johns", "Australia/Lord_Howe", "Pacific/Chatham", "America/New_York", "Europe/Dublin", "Africa/Casablanca", "Asia/Tehran", "Pacific/Apia", "America/Sao_Paulo"])
 def test_local_times_against_the_zone_library(zone):
     tables = zone_tables([zone])
     z = ZoneInfo(zone)
-    local = [datetime(2024, m, 1) + timedelta(minutes=15 * i) for m in (3, 4, 9, 10, 11) for i in range(0, 31 * 96, 7)]
+    local = [datetime(y, m, 1) + timedelta(minutes=15 * i) for y in (1985, 2024, 2045) for m in (3, 4, 9, 10, 11) for i in range(0, 31 * 96, 7)]
+    rng = random.Random(zone)
+    local += [(datetime(1800, 1, 1) + timedelta(days=rng.uniform(0, 365 * 900))).replace(microsecond=0) for _ in range(4000)]
     got = parse_times(pd.Series([x.isoformat() for x in local]), pd.Series([zone] * len(local)), pd.Series(["dmy"] * len(local)), tables)
     for x, us, state in zip(local, got["us"], got["state"]):
         fits = {u for fold in (0, 1) if (u := x.replace(tzinfo=z, fold=fold).astimezone(UTC)).astimezone(z).replace(tzinfo=None) == x}
@@ -289,11 +361,20 @@ def test_normalise_and_pair(spark):
     out = normalise_times(df, TABLES)
     assert {r.raw_id: r.time_state for r in out.collect()} == {1: "ok", 2: "ok", 3: "ok", 4: "ok", 5: "ok", 6: "ok", 7: "no text", 8: "unreadable"}
     assert sorted(map(tuple, same_instants(out.filter("time_state = 'ok'")).collect())) == [(1, 2), (1, 6), (2, 6)]
-    assert same_instants(out.limit(0)).count() == 0
+    assert sorted(map(tuple, same_instants(out.unionByName(out)).collect())) == [(1, 2), (1, 6), (2, 6)]
+    assert sorted(map(tuple, instant_classes(out).collect())) == [(1, 1, 2), (2, 1, 2), (6, 1, 2)]
+    assert same_instants(out.limit(0)).count() == instant_classes(out.limit(0)).count() == 0
     with pytest.raises(ValueError, match="already has"):
         normalise_times(out, TABLES)
 
 
+def test_masks_are_kept_within_bounds():
+    texts = pd.Series(["x" * (i % 60) + "/" * (i // 60) for i in range(4800)])
+    none = pd.Series([None] * len(texts), dtype=object)
+    assert set(parse_times(texts, none, none, TABLES)["state"]) == {"unreadable", "no text"} and parser_of.cache_info().currsize <= 4096
+    assert parse_times(texts[:0], none[:0], none[:0], TABLES).empty
+
+
 # --- p5
 
 
