@@ -1,16 +1,19 @@
 """Spikes, stuck values and impossible readings, against each source's ordinary behaviour.
 
 Daily profiles of a source form a matrix (rows: days, columns: times of day). Robust principal components split it into
-a low-rank part, the source's normal behaviour, and a sparse part. Where the sparse part is large, the exact rule for
-spikes is tested. Ranges and constant runs are tested apart from it.
+a low-rank part, the source's normal behaviour, and a sparse part. Where the sparse part is large, or the low-rank part
+itself jumps, the exact rule for spikes is tested. Ranges and constant runs are tested apart from it.
 
-Readings are cut into tiles of (source, TILE_DAYS). A first pass reduces every tile to one row: its ends, a histogram of
-its steps and of its runs. From these come the source's usual step and ordinary runs, the neighbours of each tile and
-the runs that cross tiles; a second pass, again by tile, finds the faults. No group is larger than a tile.
+Readings are cut into tiles of (source, TILE_DAYS), each packed into one row with its arrays and a summary: its ends, a
+histogram of its steps and of its runs. From the summaries come the source's usual step and ordinary runs, the neighbours
+of each tile and the runs that cross tiles; a second pass, a row a tile and without a shuffle of readings, finds the
+faults. No group is larger than a tile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,13 +27,20 @@ TILE_DAYS = 96
 #: Readings beyond a tile's ends that the exact rule may look at: a spike of 3, its neighbour, and LOCAL of these.
 HALO = 12
 LOCAL = 6
-#: Rule: a spike is more than SPIKE_STEPS usual steps off; the sparse part counts from SPARSE_STEPS on.
+#: Rule: a spike is more than SPIKE_STEPS usual steps off its neighbours. The sparse part counts from SPARSE_STEPS on, a
+#: jump of the low-rank part from LOW_STEPS on: of two readings more than SPIKE_STEPS apart, one has such a sparse part or
+#: there is such a jump between them (triangle inequality), so whatever the decomposition is, no spike goes untested.
 SPIKE_STEPS = 12.0
 SPARSE_STEPS = 2.0
+LOW_STEPS = SPIKE_STEPS - 2 * SPARSE_STEPS
 MAX_SPIKE = 3
 #: Rule: a stuck run has at least STUCK_LEAST readings, and STUCK_TIMES the length of ordinary runs.
 STUCK_LEAST = 12
 STUCK_TIMES = 2
+#: Ordinary runs are not above the length that the longest of so many runs has by chance in one series of five.
+RUN_CHANCE = 0.2
+#: Buckets of steps to a doubling: steps of one bucket differ by less than 0.1 %.
+STEP_BUCKETS = 1024
 #: Rule: altitudes in metres, and how far one may be off its station's.
 ALTITUDE_RANGE = (-500.0, 9000.0)
 ALTITUDE_OFF = 50.0
@@ -51,10 +61,11 @@ def _shrunk(x: np.ndarray, by: float) -> np.ndarray:
     return out.T if wide else out
 
 
-def robust_components(x: np.ndarray, rounds: int = 40, tol: float = 1e-4) -> np.ndarray:
+def robust_components(x: np.ndarray, rounds: int = 40, tol: float = 1e-3) -> np.ndarray:
     """Low-rank part of x (NaN: no reading) by principal component pursuit with an augmented Lagrangian.
 
-    x - result is the sparse part. Cells without reading take what the low-rank part has there.
+    x - result is the sparse part. Cells without reading take what the low-rank part has there. It stops after so many
+    rounds if it hasn't converged by then: any split serves, see LOW_STEPS.
     """
     gone = np.isnan(x)
     data = np.where(gone, 0.0, x)
@@ -79,8 +90,9 @@ def robust_components(x: np.ndarray, rounds: int = 40, tol: float = 1e-4) -> np.
     return low
 
 
-def profile_residuals(us: np.ndarray, v: np.ndarray, step: float) -> np.ndarray:
-    """Sparse part of every reading, in usual steps; infinite where two readings share a cell of the profile matrix.
+def profile_suspects(us: np.ndarray, v: np.ndarray, step: float) -> np.ndarray:
+    """Readings, in time order, that don't follow the source's daily profiles: a large sparse part, or a jump of the
+    low-rank part to the reading before or after; and readings that share a cell of the matrix with an earlier one.
 
     A row is a UTC day. A source with under 8 readings a day has rows of 16 readings in a row instead.
     """
@@ -94,17 +106,25 @@ def profile_residuals(us: np.ndarray, v: np.ndarray, step: float) -> np.ndarray:
         row, col = np.divmod(np.arange(len(us)), width)
     _, row = np.unique(row, return_inverse=True)
     cell = row * width + col
-    _, first = np.unique(cell, return_index=True)
     single = np.zeros(len(us), bool)
-    single[first] = True
+    single[np.unique(cell, return_index=True)[1]] = True
     x = np.full((row.max() + 1, width), np.nan)
     x[row[single], col[single]] = v[single]
     with np.errstate(all="ignore"):
-        level = np.nanmedian(x, axis=0) if x.shape[0] >= 5 else np.full(width, np.nanmedian(v))
-    level = np.where(np.isnan(level), np.nanmedian(v), level)
+        middle = np.median(v)
+        level = np.full(width, middle)
+        if x.shape[0] >= 5:
+            ranked, n = np.sort(x, axis=0), (~np.isnan(x)).sum(axis=0)  # NaN last
+            lo, hi = (np.take_along_axis(ranked, np.maximum(k, 0)[None], axis=0)[0] for k in ((n - 1) // 2, np.where(n % 2, (n - 1) // 2, n // 2)))
+            level = np.where(n > 0, (lo + hi) / 2, middle)
     x = (x - level) / step
-    out = np.full(len(us), np.inf)
-    out[single] = np.abs(x - robust_components(x))[row[single], col[single]]
+    low = robust_components(x)
+    out = ~single
+    out[single] = np.abs(x - low)[row[single], col[single]] >= SPARSE_STEPS
+    normal = (level / step + low)[row, col]
+    jump = np.abs(np.diff(normal)) >= LOW_STEPS
+    out[1:] |= jump
+    out[:-1] |= jump
     return out
 
 
@@ -119,30 +139,38 @@ def spikes(v: np.ndarray, step: float, suspect: np.ndarray) -> np.ndarray:
     out = np.zeros(n, bool)
     if n < 3 or not step > 0:
         return out
-    groups = []
-    for m in range(1, MAX_SPIKE + 1):
-        if n < m + 2:
-            break
+    suspects_before = np.r_[0, np.cumsum(suspect)]
+    begin, end = [], []
+    for m in range(1, min(MAX_SPIKE, n - 2) + 1):
         parts = np.lib.stride_tricks.sliding_window_view(v, m)[1 : n - m]
         before, after = v[: n - m - 1], v[m + 1 :]
-        lo, hi = parts.min(axis=1), parts.max(axis=1)
-        far = np.maximum(lo - np.maximum(before, after), np.minimum(before, after) - hi)
-        for i in np.flatnonzero(far > SPIKE_STEPS * step) + 1:
-            if suspect[i : i + m].any():
-                groups.append((i, i + m))
-    if not groups:
+        far = np.maximum(parts.min(axis=1) - np.maximum(before, after), np.minimum(before, after) - parts.max(axis=1))
+        at = np.flatnonzero(far > SPIKE_STEPS * step) + 1
+        at = at[suspects_before[at + m] > suspects_before[at]]
+        begin.append(at)
+        end.append(at + m)
+    a, b = np.concatenate(begin), np.concatenate(end)
+    if not len(a):
         return out
-    off = {}
-
-    def distance(i: int) -> float:
-        if i not in off:
-            off[i] = abs(v[i] - np.median(v[max(0, i - LOCAL) : i + LOCAL + 1]))
-        return off[i]
-
-    weight = [min(distance(i) for i in range(a, b)) for a, b in groups]
-    for (a, b), w in zip(groups, weight):
-        if not any(c <= x < d and x2 > w and not (c < b and a < d) for (c, d), x2 in zip(groups, weight) for x in (a - 1, b) if abs(c - a) <= 2 * MAX_SPIKE):
-            out[a:b] = True
+    places = np.unique(np.concatenate([np.minimum(a + k, b - 1) for k in range(MAX_SPIKE)]))
+    off = np.empty(len(places))
+    inner = (places >= LOCAL) & (places < n - LOCAL)
+    if inner.any():
+        around = np.lib.stride_tricks.sliding_window_view(v, 2 * LOCAL + 1)[places[inner] - LOCAL]
+        off[inner] = np.abs(v[places[inner]] - np.median(around, axis=1))
+    for k in np.flatnonzero(~inner):  # 2 x LOCAL at most
+        i = places[k]
+        off[k] = abs(v[i] - np.median(v[max(0, i - LOCAL) : i + LOCAL + 1]))
+    distance = np.zeros(n)
+    distance[places] = off
+    weight = np.minimum.reduce([distance[np.minimum(a + k, b - 1)] for k in range(MAX_SPIKE)])
+    # a rival holds a neighbour and nothing of the group: it ends where the group begins, or begins where it ends
+    ending, beginning = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    np.maximum.at(ending, b, weight)
+    np.maximum.at(beginning, a, weight)
+    wins = (ending[a] <= weight) & (beginning[b] <= weight)
+    for k in range(MAX_SPIKE):
+        out[np.minimum(a + k, b - 1)[wins]] = True
     return out
 
 
@@ -151,84 +179,119 @@ def _pieces(v: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(v[1:] != v[:-1]) + 1]
 
 
-_SUMMARY = (
-    "station_ref string, tile bigint, n bigint, zero_ok boolean, no_spikes boolean, head array<struct<us:bigint,value:double>>, tail array<struct<us:bigint,value:double>>, "
-    "steps array<double>, step_n array<bigint>, runs array<bigint>, run_n array<bigint>, ends array<struct<value:double,n:bigint>>"
+_TILE = (
+    "station_ref string, tile bigint, n bigint, us array<bigint>, value array<double>, out_us array<bigint>, out_value array<double>, zero_ok boolean, no_spikes boolean, "
+    "head array<struct<us:bigint,value:double>>, tail array<struct<us:bigint,value:double>>, steps array<double>, step_n array<bigint>, runs array<bigint>, run_n array<bigint>, ends array<struct<value:double,n:bigint>>"
 )
 
 
-def _summary(group: pa.Table) -> pa.Table:
-    us, v = group["us"].to_numpy(), group["value"].to_numpy()
+def _packed(group: pa.Table) -> pa.Table:
+    """One row of _TILE of the readings of a tile."""
+    us, v, inside = (group[c].to_numpy() for c in ("us", "value", "inside"))
+    out_us, out_v = us[~inside], v[~inside]
+    us, v = us[inside], v[inside]
     order = np.argsort(us)
     us, v = us[order], v[order]
     zero_ok = group["zero_ok"][0].as_py()
     d = np.abs(np.diff(v)).round(9)
     steps, step_n = np.unique(d[d > 0], return_counts=True)
-    starts = _pieces(v)
+    starts = _pieces(v) if len(v) else np.array([], int)
     length = np.diff(np.r_[starts, len(v)])
     inner = slice(1, -1)
     counted = length[inner][~(zero_ok & (v[starts][inner] == 0))]
     runs, run_n = np.unique(counted, return_counts=True)
-    ends = [0] if len(starts) == 1 else [0, -1]
+    ends = [0, -1][: len(starts)]
     one = lambda x, kind: pa.ListArray.from_arrays([0, len(x)], pa.array(x, kind))
     two = lambda **c: pa.ListArray.from_arrays([0, len(next(iter(c.values())))], pa.StructArray.from_arrays([pa.array(x) for x in c.values()], list(c)))
     columns = {
-        "station_ref": group["station_ref"][:1].combine_chunks(), "tile": group["tile"][:1].combine_chunks(), "n": pa.array([len(v)]), "zero_ok": pa.array([zero_ok]), "no_spikes": group["no_spikes"][:1].combine_chunks(),
+        "station_ref": group["station_ref"][:1].combine_chunks(), "tile": group["tile"][:1].combine_chunks(), "n": pa.array([len(v)]), "us": one(us, pa.int64()), "value": one(v, pa.float64()),
+        "out_us": one(out_us, pa.int64()), "out_value": one(out_v, pa.float64()), "zero_ok": pa.array([zero_ok]), "no_spikes": group["no_spikes"][:1].combine_chunks(),
         "head": two(us=us[:HALO], value=v[:HALO]), "tail": two(us=us[-HALO:], value=v[-HALO:]), "steps": one(steps, pa.float64()), "step_n": one(step_n, pa.int64()), "runs": one(runs, pa.int64()), "run_n": one(run_n, pa.int64()),
-        "ends": two(value=v[starts][ends], n=length[ends]),
+        "ends": two(value=v[starts][ends], n=length[ends].astype("int64")),
     }
     return pa.table(columns)
 
 
 def usual_steps(steps: DataFrame) -> DataFrame:
-    """(station_ref, usual_step): exact median of steps (station_ref, step, n), counted by value beforehand."""
-    counted = steps.groupBy("station_ref", "step").agg(F.sum("n").alias("n"))
+    """(station_ref, usual_step): exact median of steps (station_ref, step > 0, n).
+
+    Counts by bucket (STEP_BUCKETS to a doubling) tell which bucket holds the middle; only the steps of that one, about a
+    thousandth of a source's, are ranked.
+    """
+    s = steps.withColumn("bucket", F.floor(F.log2("step") * STEP_BUCKETS))
     w = Window.partitionBy("station_ref")
-    run = w.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    c = counted.select("station_ref", "step", F.sum("n").over(run).alias("upto"), F.sum("n").over(w).alias("all"))
+    upto = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    b = s.groupBy("station_ref", "bucket").agg(F.sum("n").alias("n")).select("station_ref", "bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.sum("n").over(w).alias("all"))
     half = F.call_function("div", F.col("all"), F.lit(2))
-    lower = F.min(F.when(F.col("upto") >= F.col("all") - half, F.col("step")))
-    upper = F.min(F.when(F.col("upto") >= half + 1, F.col("step")))
+    middle = b.select("station_ref", "bucket", "before", "upto", (F.col("all") - half).alias("k1"), (half + 1).alias("k2")).filter("upto >= k1 AND before < k2").drop("upto")
+    near = lookup_join(s, middle, ["station_ref", "bucket"]).groupBy("station_ref", "bucket", "before", "k1", "k2", "step").agg(F.sum("n").alias("n"))
+    run = Window.partitionBy("station_ref", "bucket").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    c = near.withColumn("upto", F.col("before") + F.sum("n").over(run))
+    lower, upper = (F.min(F.when(F.col("upto") >= F.col(k), F.col("step"))) for k in ("k1", "k2"))
     return c.groupBy("station_ref").agg(((lower + upper) / 2).alias("usual_step"))
 
 
 def stuck_limits(runs: DataFrame) -> DataFrame:
     """(station_ref, stuck_from): length from which a run is stuck, by runs (station_ref, length, n).
 
-    Ordinary runs are the longest below STUCK_LEAST; where more than one run in twenty (and at least five) is as long as
-    that, it is the source's nature, and ordinary runs are the 95 % quantile of all.
+    Ordinary runs are the longest below STUCK_LEAST, or what the longest of so many runs may well have by chance
+    (RUN_CHANCE), if that is more: runs of a source that stays the same from one reading to the next with probability p are
+    k long with p^(k-1), and p follows from their mean. Where more than one run in twenty (and at least five) has
+    STUCK_LEAST readings, it is the source's nature, and ordinary runs are the 95 % quantile of all.
     """
     counted = runs.groupBy("station_ref", "length").agg(F.sum("n").alias("n"))
     long = F.col("length") >= STUCK_LEAST
-    s = counted.groupBy("station_ref").agg(F.max(F.when(~long, F.col("length"))).alias("short"), F.sum(F.when(long, F.col("n")).otherwise(0)).alias("longs"), F.sum("n").alias("all"), F.percentile("length", F.lit(0.95), F.col("n")).alias("q95"))
-    ordinary = F.when((F.col("longs") >= 5) & (F.col("longs") * 20 > F.col("all")), F.greatest("q95", F.col("short"))).otherwise(F.coalesce("short", F.lit(1)))
+    s = counted.groupBy("station_ref").agg(
+        F.max(F.when(~long, F.col("length"))).alias("short"), F.sum(F.when(long, F.col("n")).otherwise(0)).alias("longs"), F.sum("n").alias("all"), F.percentile("length", F.lit(0.95), F.col("n")).alias("q95"),
+        F.sum(F.when(~long, F.col("n") * F.col("length"))).alias("readings"),
+    )
+    shorts = F.col("all") - F.col("longs")
+    tail = F.when(F.col("readings") > shorts, 1 + F.log(shorts / F.lit(RUN_CHANCE)) / -F.log(1 - shorts / F.col("readings"))).otherwise(1.0)
+    ordinary = F.when((F.col("longs") >= 5) & (F.col("longs") * 20 > F.col("all")), F.greatest("q95", F.col("short"))).otherwise(F.coalesce(F.greatest("short", tail), F.lit(1)))
     return s.select("station_ref", F.greatest(F.lit(float(STUCK_LEAST)), F.lit(float(STUCK_TIMES)) * ordinary).alias("stuck_from"))
 
 
 _FAULTS = "station_ref string, us bigint, value double, reason string"
 
 
-def _faults(group: pa.Table) -> pa.Table:
-    part, us, v = (group[c].to_numpy() for c in ("part", "us", "value"))
-    mark = group.slice(int(np.flatnonzero(part == 1)[0]), 1).to_pylist()[0]
-    order = np.argsort(us, kind="stable")
-    order = order[part[order] != 1]
-    us, v, core = us[order], v[order], part[order] == 0
-    spike = np.zeros(len(v), bool)
-    step = mark["usual_step"]
-    if not mark["no_spikes"] and step > 0 and len(v) > 2:
-        large = profile_residuals(us, v, step) >= SPARSE_STEPS
-        near = np.convolve(large, np.ones(2 * MAX_SPIKE + 3))[MAX_SPIKE + 1 :][: len(v)] > 0
-        spike = spikes(v, step, near)
-    us, v, spike = us[core], v[core], spike[core]
-    starts = _pieces(v)
-    length = np.diff(np.r_[starts, len(v)])
-    total = length.copy()
-    total[0], total[-1] = mark["first_run"], mark["last_run"]
-    long = (total >= mark["stuck_from"]) & ~(mark["zero_ok"] & (v[starts] == 0))
-    stuck = np.repeat(long, length)
-    n = int(spike.sum() + stuck.sum())
-    return pa.table({"station_ref": pa.array([mark["station_ref"]] * n, pa.string()), "us": np.r_[us[spike], us[stuck]], "value": np.r_[v[spike], v[stuck]], "reason": pa.array(["spike"] * int(spike.sum()) + ["stuck"] * int(stuck.sum()), pa.string())})
+def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Faults of packed tiles with their marks, a tile a row."""
+    for batch in batches:
+        refs, us_, values, reasons = [], [], [], []
+
+        def add(ref: str, us: np.ndarray, v: np.ndarray, reason: str) -> None:
+            refs.extend([ref] * len(us))  # noqa: B023
+            reasons.extend([reason] * len(us))  # noqa: B023
+            us_.append(us)  # noqa: B023
+            values.append(v)  # noqa: B023
+
+        array = lambda c, i: batch[c][i].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
+        small = batch.select(["station_ref", "n", "zero_ok", "no_spikes", "usual_step", "stuck_from", "first_run", "last_run"]).to_pylist()
+        for i, tile in enumerate(small):
+            ref = tile["station_ref"]
+            add(ref, array("out_us", i), array("out_value", i), "range")
+            if not tile["n"]:
+                continue
+            us, v = array("us", i), array("value", i)
+            step = tile["usual_step"] or 0.0
+            if not tile["no_spikes"] and step > 0:
+                sides = [batch[c][i].values for c in ("before", "after")]
+                at, x = ([s.field(f).to_numpy(zero_copy_only=False) for s in sides] for f in (0, 1))
+                core = slice(len(at[0]), len(at[0]) + len(us))
+                whole_us, whole = np.concatenate([at[0], us, at[1]]), np.concatenate([x[0], v, x[1]])
+                if len(whole) > 2:
+                    near = np.convolve(profile_suspects(whole_us, whole, step), np.ones(2 * MAX_SPIKE + 3))[MAX_SPIKE + 1 :][: len(whole)] > 0
+                    spike = spikes(whole, step, near)[core]
+                    add(ref, us[spike], v[spike], "spike")
+            starts = _pieces(v)
+            length = np.diff(np.r_[starts, len(v)])
+            total = length.copy()
+            total[0], total[-1] = tile["first_run"], tile["last_run"]
+            limit = np.inf if tile["stuck_from"] is None else tile["stuck_from"]
+            stuck = np.repeat((total >= limit) & ~(tile["zero_ok"] & (v[starts] == 0)), length)
+            add(ref, us[stuck], v[stuck], "stuck")
+        if refs:
+            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(np.concatenate(us_), pa.int64()), pa.array(np.concatenate(values), pa.float64()), pa.array(reasons, pa.string())], ["station_ref", "us", "value", "reason"])
 
 
 def implausible_readings(current: DataFrame, station_variables: DataFrame, encodings: DataFrame, tile_days: int = TILE_DAYS) -> DataFrame:
@@ -243,42 +306,36 @@ def implausible_readings(current: DataFrame, station_variables: DataFrame, encod
     rows = need(current, "station_ref", "us", "value").select("station_ref", "us", known("value").alias("value")).filter("station_ref IS NOT NULL AND us IS NOT NULL AND value IS NOT NULL")
     bounds = need(encodings, "variable", "min_value", "max_value").filter("variable IS NOT NULL").groupBy("variable").agg(F.max(F.struct("min_value", "max_value")).alias("_b")).select("variable", "_b.min_value", "_b.max_value")
     kinds = need(station_variables, "station_ref", "variable").filter("station_ref IS NOT NULL").groupBy("station_ref").agg(F.max("variable").alias("variable")).join(bounds, "variable", "left")
-    rows = lookup_join(rows, kinds, ["station_ref"], "left")
+    rows = lookup_join(rows, materialize(kinds, "kinds"), ["station_ref"], "left")
     inf = float("inf")
     inside = (F.abs("value") < inf) & (F.col("value") >= F.coalesce(F.col("min_value"), F.lit(-inf))) & (F.col("value") <= F.coalesce(F.col("max_value"), F.lit(inf)))
     flag = lambda names: F.coalesce(F.col("variable").isin(*names), F.lit(False))
-    rows = materialize(rows.select("station_ref", "us", "value", inside.alias("inside"), flag(ZEROS_ORDINARY).alias("zero_ok"), flag(NO_SPIKES).alias("no_spikes"), steps_of(F.col("us"), tile_days * DAY_US).alias("tile")), "readings")
-    sound = rows.filter("inside").drop("inside")
-    tiles = materialize(sound.groupBy("station_ref", "tile").applyInArrow(_summary, _SUMMARY), "tiles")
+    rows = rows.select("station_ref", "us", "value", inside.alias("inside"), flag(ZEROS_ORDINARY).alias("zero_ok"), flag(NO_SPIKES).alias("no_spikes"), steps_of(F.col("us"), tile_days * DAY_US).alias("tile"))
+    tiles = materialize(rows.groupBy("station_ref", "tile").applyInArrow(_packed, _TILE), "tiles")
+    held = tiles.filter("n > 0")
 
     w = Window.partitionBy("station_ref").orderBy("tile")
-    chain = tiles.select("station_ref", "tile", "zero_ok", F.posexplode("ends").alias("at", "end")).select("station_ref", "tile", "at", "zero_ok", "end.value", "end.n")
+    chain = held.select("station_ref", "tile", "zero_ok", F.posexplode("ends").alias("at", "end")).select("station_ref", "tile", "at", "zero_ok", "end.value", "end.n")
     order = Window.partitionBy("station_ref").orderBy("tile", "at")
     new = (F.col("at") == 1) | ~F.lag("value").over(order).eqNullSafe(F.col("value"))
     chain = chain.withColumn("run", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     chain = chain.withColumn("total", F.sum("n").over(Window.partitionBy("station_ref", "run")))
     crossing = chain.filter(~(F.col("zero_ok") & (F.col("value") == 0))).groupBy("station_ref", "run").agg(F.first("total").alias("length")).select("station_ref", "length", F.lit(1).cast("bigint").alias("n"))
-    inner = tiles.select("station_ref", F.explode(F.arrays_zip("runs", "run_n")).alias("r")).select("station_ref", F.col("r.runs").alias("length"), F.col("r.run_n").alias("n"))
+    inner = held.select("station_ref", F.explode(F.arrays_zip("runs", "run_n")).alias("r")).select("station_ref", F.col("r.runs").alias("length"), F.col("r.run_n").alias("n"))
     limits = stuck_limits(inner.unionByName(crossing))
 
-    steps = tiles.select("station_ref", F.explode(F.arrays_zip("steps", "step_n")).alias("s")).select("station_ref", F.col("s.steps").alias("step"), F.col("s.step_n").alias("n"))
+    steps = held.select("station_ref", F.explode(F.arrays_zip("steps", "step_n")).alias("s")).select("station_ref", F.col("s.steps").alias("step"), F.col("s.step_n").alias("n"))
     jump = F.round(F.abs(F.element_at("head", 1)["value"] - F.lag(F.element_at("tail", -1)["value"]).over(w)), 9)
-    between = tiles.select("station_ref", jump.alias("step"), F.lit(1).cast("bigint").alias("n")).filter("step > 0")
+    between = held.select("station_ref", jump.alias("step"), F.lit(1).cast("bigint").alias("n")).filter("step > 0")
     usual = usual_steps(steps.unionByName(between))
 
     edges = chain.groupBy("station_ref", "tile").agg(F.min_by("total", "at").alias("first_run"), F.max_by("total", "at").alias("last_run"))
     before = F.flatten(F.collect_list("tail").over(w.rowsBetween(-HALO, -1)))
     after = F.flatten(F.collect_list("head").over(w.rowsBetween(1, HALO)))
-    marks = tiles.select("station_ref", "tile", "zero_ok", "no_spikes", F.slice(before, F.greatest(F.size(before) - HALO + 1, F.lit(1)), HALO).alias("before"), F.slice(after, 1, HALO).alias("after"))
+    marks = held.select("station_ref", "tile", F.slice(before, F.greatest(F.size(before) - HALO + 1, F.lit(1)), HALO).alias("before"), F.slice(after, 1, HALO).alias("after"))
     marks = marks.join(edges, ["station_ref", "tile"]).join(usual, "station_ref", "left").join(limits, "station_ref", "left")
-    shared = ["zero_ok", "no_spikes", "usual_step", "stuck_from", "first_run", "last_run"]
-    none = marks.select("station_ref", "tile", F.lit(0).cast("bigint").alias("us"), F.lit(0.0).alias("value"), F.lit(1).alias("part"), "zero_ok", "no_spikes", F.coalesce("usual_step", F.lit(0.0)).alias("usual_step"), F.coalesce("stuck_from", F.lit(inf)).alias("stuck_from"), "first_run", "last_run")
-    blank = {"usual_step": F.lit(0.0), "stuck_from": F.lit(0.0), "first_run": F.lit(0).cast("bigint"), "last_run": F.lit(0).cast("bigint")}
-    halo = marks.select("station_ref", "tile", F.explode(F.concat("before", "after")).alias("h"), "zero_ok", "no_spikes").select("station_ref", "tile", "h.us", "h.value", F.lit(2).alias("part"), "zero_ok", "no_spikes").withColumns(blank)
-    core = sound.select("station_ref", "tile", "us", "value", F.lit(0).alias("part"), "zero_ok", "no_spikes").withColumns(blank)
-    columns = ["station_ref", "tile", "us", "value", "part", *shared]
-    found = core.select(columns).unionByName(halo.select(columns)).unionByName(none.select(columns)).groupBy("station_ref", "tile").applyInArrow(_faults, _FAULTS)
-    return rows.filter("NOT inside").select("station_ref", "us", "value", F.lit("range").alias("reason")).unionByName(found)
+    whole = tiles.select("station_ref", "tile", "n", "us", "value", "out_us", "out_value", "zero_ok", "no_spikes").join(marks, ["station_ref", "tile"], "left")
+    return whole.drop("tile").mapInArrow(_faults, _FAULTS)
 
 
 def implausible_altitudes(stations: DataFrame) -> DataFrame:

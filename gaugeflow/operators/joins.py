@@ -11,9 +11,10 @@ SALTS = 16
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Rough size of df in memory: 16 bytes a value and the texts' lengths."""
+    """Rough size of df in memory: 16 bytes a value and the texts' lengths; arrays with 32 bytes an element."""
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
-    width = sum(texts, F.lit(16 * len(df.columns)))
+    arrays = [F.coalesce(F.size(c), F.lit(0)) * 32 for c, t in df.dtypes if t.startswith("array")]
+    width = sum(texts + arrays, F.lit(16 * len(df.columns)))
     return df.agg(F.sum(width).alias("b")).first()["b"] or 0
 
 

@@ -229,9 +229,11 @@ SQL["p5_found"] = f"""WITH {_CURRENT}, kinds AS (
 ), islands AS (SELECT *, sum((prev IS NULL OR value <> prev)::INT) OVER (PARTITION BY station_ref ORDER BY us) AS run FROM sound
 ), runs AS (
   SELECT station_ref, run, count(*) AS n FROM islands WHERE NOT (value = 0 AND variable IN ('precipitation', 'streamflow')) GROUP BY ALL
+), tallied AS (
+  SELECT station_ref, count(*) AS n_all, count(*) FILTER (n >= 12) AS longs, count(*) FILTER (n < 12) AS shorts, sum(n) FILTER (n < 12) AS readings, max(n) FILTER (n < 12) AS short, quantile_cont(n, 0.95) AS q95 FROM runs GROUP BY 1
 ), limits AS (
-  SELECT station_ref, greatest(12, 2 * CASE WHEN count(*) FILTER (n >= 12) >= 5 AND count(*) FILTER (n >= 12) * 20 > count(*)
-    THEN greatest(quantile_cont(n, 0.95), coalesce(max(n) FILTER (n < 12), 0)) ELSE coalesce(max(n) FILTER (n < 12), 1) END) AS stuck_from FROM runs GROUP BY 1
+  SELECT station_ref, greatest(12, 2 * CASE WHEN longs >= 5 AND longs * 20 > n_all THEN greatest(q95, coalesce(short, 0))
+    WHEN readings > shorts THEN greatest(short, 1 + ln(shorts / 0.2) / -ln(1 - shorts / readings)) ELSE coalesce(short, 1) END) AS stuck_from FROM tallied
 ), stuck AS (SELECT i.station_ref, i.us FROM islands i JOIN runs r USING (station_ref, run) JOIN limits l USING (station_ref) WHERE r.n >= l.stuck_from
 ), near AS (
   SELECT s.*, u.step, abs(value - median(value) OVER (PARTITION BY station_ref ORDER BY us ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)) AS off

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from gaugeflow.operators.current import current_series, current_stations
-from gaugeflow.operators.implausible import implausible_altitudes, implausible_readings, robust_components, spikes
+from gaugeflow.operators.implausible import LOW_STEPS, MAX_SPIKE, SPIKE_STEPS, implausible_altitudes, implausible_readings, profile_suspects, robust_components, spikes, stuck_limits, usual_steps
 from gaugeflow.operators.incremental import CommitConflict, IntervalLedger, changed, delivery_intervals, intervals_of, members, merge, pending_intervals, subtract, touched_by, with_pending, within
 from gaugeflow.operators.joins import lookup_join
 from gaugeflow.operators.regular_grid import regular_grid
@@ -398,6 +398,53 @@ def test_spike_rule():
         assert set(np.flatnonzero(spikes(v, 0.5, np.ones(len(v), bool)))) == want
 
 
+def slow_spikes(v, step):
+    """The rule, group against group."""
+    groups = [(a, a + m) for m in (1, 2, 3) for a in range(1, len(v) - m) if max(min(v[a : a + m]) - max(v[a - 1], v[a + m]), min(v[a - 1], v[a + m]) - max(v[a : a + m])) > SPIKE_STEPS * step]
+    weight = {g: min(abs(v[i] - np.median(v[max(0, i - 6) : i + 7])) for i in range(*g)) for g in groups}
+    apart = lambda g, h: h[1] <= g[0] or h[0] >= g[1]
+    out = set()
+    for g in groups:
+        if not any(apart(g, h) and (h[0] <= g[0] - 1 < h[1] or h[0] <= g[1] < h[1]) and weight[h] > weight[g] for h in groups):
+            out |= set(range(*g))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_spikes_against_the_rule_and_none_goes_untested(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(3, 700))
+    us = np.cumsum(rng.integers(1, 3, n)) * int(rng.choice([60_000_000, HOUR, 9 * HOUR]))
+    v = np.round(np.cumsum(rng.normal(0, 1, n)) + 5 * np.sin(us / DAY * 6.283), int(rng.integers(0, 3)))
+    at = rng.random(n) < rng.choice([0.01, 0.2, 0.6])
+    v[at] += rng.choice([-30, 20, 60], at.sum())
+    want = slow_spikes(v.tolist(), 0.7)
+    assert set(np.flatnonzero(spikes(v, 0.7, np.ones(n, bool)))) == want
+    near = np.convolve(profile_suspects(us, v, 0.7), np.ones(2 * MAX_SPIKE + 3))[MAX_SPIKE + 1 :][:n] > 0
+    assert set(np.flatnonzero(spikes(v, 0.7, near))) == want and LOW_STEPS > 0
+
+
+def test_spikes_of_a_noisy_minute_source_are_found_at_once():
+    import time
+
+    v = np.random.default_rng(1).normal(0, 100, 138_000)
+    began = time.perf_counter()
+    assert spikes(v, 0.01, np.ones(len(v), bool)).any() and time.perf_counter() - began < 2
+
+
+def test_usual_step_is_the_exact_median(spark):
+    rng = random.Random(4)
+    rows = [(s, x, rng.randint(1, 3)) for s, n in (("a", 501), ("b", 500), ("one", 1), ("two", 2)) for x in (rng.choice([rng.uniform(0.001, 9), 2.0, 2.0001]) for _ in range(n))]
+    got = {r.station_ref: r.usual_step for r in usual_steps(spark.createDataFrame(rows, "station_ref string, step double, n long")).collect()}
+    assert got == {s: pytest.approx(np.median(np.repeat([x for k, x, _ in rows if k == s], [n for k, _, n in rows if k == s])), rel=1e-15) for s in got} and len(got) == 4
+
+
+def test_a_run_that_chance_explains_is_not_stuck(spark):
+    rows = [("coarse", k, n) for k, n in ((1, 258), (2, 76), (3, 35), (4, 11), (5, 6), (6, 1), (12, 1))] + [("fine", 1, 5000), ("fine", 2, 2), ("fine", 14, 1), ("long", 20, 30), ("long", 2, 90), ("none", 30, 1)]
+    got = {r.station_ref: r.stuck_from for r in stuck_limits(spark.createDataFrame(rows, "station_ref string, length long, n long")).collect()}
+    assert 12 < got["coarse"] < 20 and got["fine"] == 12 and got["long"] == 40 and got["none"] == 12
+
+
 def _readings(spark, rows):
     return spark.createDataFrame([(*r, 1) for r in rows], "station_ref string, us long, value double, tile int")
 
