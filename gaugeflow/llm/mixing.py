@@ -67,9 +67,9 @@ def plan_shares(targets: dict[str, tuple[float, int]], available: dict[str, int]
 
     Shares count among the sources that have tokens and may be used at least once; the others give nothing. Without a
     total, it is the largest for which every such source reaches its share. With one, a source that can't reach its share
-    gives all it may. Exact integers, no rounding of large sums.
+    gives all it may. Exact integers, no rounding of large sums; a share is the decimal number it is written as.
     """
-    usable = {s: (Fraction(w).limit_denominator(10**9), r) for s, (w, r) in targets.items() if w > 0 and r > 0 and available.get(s, 0) > 0}
+    usable = {s: (Fraction(str(w)), r) for s, (w, r) in targets.items() if w > 0 and r > 0 and available.get(s, 0) > 0}
     weight = sum(w for w, _ in usable.values())
     if total is None and usable:
         total = min(r * available[s] * weight / w for s, (w, r) in usable.items()).__floor__()
