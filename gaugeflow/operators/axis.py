@@ -18,11 +18,6 @@ def axis_bounds(slots: DataFrame, step_us: int, us: str = "us") -> DataFrame:
     return b.withColumn("n_steps", F.coalesce(steps_of(F.col("tn_us") - F.col("t0_us"), step_us) + 1, F.lit(0)).cast("bigint"))
 
 
-def step_index(us, t0_us, step_us: int):
-    """Place on the axis; negative before it."""
-    return steps_of(us - t0_us, step_us)
-
-
 def last_of_slot(slots: DataFrame, planes: list[str], key: str = "station_ref", us: str = "us", pos: str = "pos") -> DataFrame:
     """(key, us, planes): of each key and time the row of the highest pos, missing values included."""
     row = F.struct(pos, *planes)
@@ -51,7 +46,7 @@ def gap_steps(slots: DataFrame, step_us: int, key: str = "station_ref", us: str
     Repeated slots count once; null keys and times are left out.
     """
     near = with_neighbours(slots.select(key, us).dropna().distinct(), key, us, [], 1)
-    w = Window.partitionBy(key, "tile").orderBy(us)
+    w = Window.partitionBy("tile", key).orderBy(us)
     d = near.withColumn("gap_steps", steps_of(F.lead(us).over(w) - F.col(us), step_us) - 1)
     return d.filter("is_core AND gap_steps > 0").select(key, us, "gap_steps")
 

@@ -5,26 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.columns import DAY_US, need, steps_of
+from gaugeflow.functions.columns import need
+from gaugeflow.session import materialize
 
+#: Rows of a tile: what one window holds at most, besides its neighbours.
+TILE_ROWS = 8192
 
-def with_neighbours(rows: DataFrame, key: str, at: str, values: list[str], reach: int, tile_us: int = 32 * DAY_US) -> DataFrame:
-    """rows (key, at BIGINT, values), unique by (key, at), with tile and is_core.
 
-    Each tile of a key also gets copies, not is_core, of the `reach` rows right before and right after it in the order
-    of `at`, whatever tiles they are in. Windows partitioned by (key, tile) are then exact for core rows as far as they
-    look at most `reach` rows away; no window holds more than a tile. Rows with a null key or place are left out.
+def in_order(rows: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
+    """(key, at, values, place): rows, unique by (key, at), with their place from 0 in the order of both over all keys.
+
+    Sorted by range partitions and written once; the number of rows before each partition makes places of them. However
+    many rows a key or a time has, they are split evenly. Rows with a null key or place are left out.
+    """
+    r = need(rows, key, at, *values).filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    r = r.repartitionByRange(key, at).sortWithinPartitions(key, at).withColumn("_id", F.monotonically_increasing_id())
+    r = materialize(r, "ordered").withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    parts = r.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.select("_part", before.alias("_before"))  # a row a partition
+    return r.join(F.broadcast(base), "_part").select(key, at, *values, (F.col("_before") + F.col("_at")).alias("place"))
+
+
+def with_neighbours(rows: DataFrame, key: str, at: str, values: list[str], reach: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """rows (key, at, values), unique by (key, at), with tile and is_core.
+
+    A tile is tile_rows rows in the order of (key, at). Each tile also gets copies, not is_core, of the `reach` rows right
+    before and right after it. Windows partitioned by (tile, key) are then exact for core rows as far as they look at most
+    `reach` rows away; no window holds more than a tile and its neighbours, whatever the density of a series.
     """
-    r = need(rows, key, at, *values).filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("tile", steps_of(F.col(at), tile_us))
-    part = Window.partitionBy(key, "tile")
-    ranked = r.withColumns({"_up": F.row_number().over(part.orderBy(at)), "_down": F.row_number().over(part.orderBy(F.desc(at)))})
-    row = F.struct(at, *values)
-    ends = ranked.filter((F.col("_up") <= reach) | (F.col("_down") <= reach)).groupBy(key, "tile").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_up") <= reach, row))).alias("head"), F.sort_array(F.collect_list(F.when(F.col("_down") <= reach, row))).alias("tail")
-    )
-    tiles = Window.partitionBy(key).orderBy("tile")
-    before = F.flatten(F.collect_list("tail").over(tiles.rowsBetween(-reach, -1)))
-    after = F.flatten(F.collect_list("head").over(tiles.rowsBetween(1, reach)))
-    near = ends.select(key, "tile", F.slice(before, F.greatest(F.size(before) - reach + 1, F.lit(1)), reach).alias("before"), F.slice(after, 1, reach).alias("after"))
-    halo = near.select(key, "tile", F.explode(F.concat("before", "after")).alias("_row")).select(key, f"_row.{at}", *[f"_row.{v}" for v in values], "tile", F.lit(False).alias("is_core"))
-    return r.withColumn("is_core", F.lit(True)).unionByName(halo)
+    if tile_rows < reach:
+        raise ValueError("a tile must have as many rows as a window reaches")
+    tile, place = F.call_function("div", F.col("place"), F.lit(tile_rows)), F.pmod("place", F.lit(tile_rows))
+    copies = F.when(place < reach, F.array(tile, tile - 1)).when(place >= tile_rows - reach, F.array(tile, tile + 1)).otherwise(F.array(tile))
+    if tile_rows < 2 * reach:  # a row may be near both ends
+        copies = F.array_distinct(F.array(tile, F.when(place < reach, tile - 1).otherwise(tile), F.when(place >= tile_rows - reach, tile + 1).otherwise(tile)))
+    near = in_order(rows, key, at, values).withColumn("tile", F.explode(copies))
+    return near.withColumn("is_core", F.col("tile") == tile).drop("place")

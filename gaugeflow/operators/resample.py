@@ -39,14 +39,21 @@ def segments(prepared: DataFrame) -> DataFrame:
     a series with fewer segments.
     """
     near = with_neighbours(prepared, "series_key", "us", ["value"], MEDIAN_SEGMENTS)
-    part = Window.partitionBy("series_key", "tile")
+    part = Window.partitionBy("tile", "series_key")
     w = part.orderBy("us")
     half = MEDIAN_SEGMENTS // 2
     s = near.withColumns({"next_us": F.lead("us").over(w), "next_value": F.lead("value").over(w), "prev_us": F.lag("us").over(w)})
     s = s.withColumn("d", F.col("next_us") - F.col("us"))
-    local, whole = (F.percentile("d", F.lit(0.5)).over(x) for x in (w.rowsBetween(-half, half), part))
-    s = s.withColumn("med", F.when(F.col("d").isNotNull(), F.when(F.count("d").over(part) < MEDIAN_SEGMENTS, whole).otherwise(local)))
-    return s.withColumn("prev_med", F.lag("med").over(w)).filter("is_core").drop("is_core")
+    # the lengths around, sorted, nulls first; built-in array functions on them are compiled, a percentile of each frame isn't
+    around = [F.col("d") if k == 0 else F.lead("d", k).over(w) if k > 0 else F.lag("d", -k).over(w) for k in range(-half, half + 1)]
+    s = s.withColumns({"_around": F.sort_array(F.array(*around)), "_known": sum((x.isNotNull().cast("int") for x in around), F.lit(0)), "_all": F.count("d").over(part)})
+    nulls = MEDIAN_SEGMENTS - F.col("_known")
+    at = lambda k: F.get("_around", nulls + F.floor(k / 2).cast("int"))
+    local = (at(F.col("_known") - 1) + at(F.col("_known"))) / 2
+    short = F.col("_all") < MEDIAN_SEGMENTS
+    whole = F.percentile(F.when(short, F.col("d")), F.lit(0.5)).over(part)  # of nulls only, unless the series is short
+    s = s.withColumn("med", F.when(F.col("d").isNotNull(), F.when(short, whole).otherwise(local)))
+    return s.withColumn("prev_med", F.lag("med").over(w)).filter("is_core").drop("is_core", "_around", "_known", "_all")
 
 
 def gap_threshold(max_gap=None, gap_multiplier: float = 3.0) -> Column:

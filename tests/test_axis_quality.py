@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import axis, quality
-from gaugeflow.operators.neighbours import with_neighbours
+from gaugeflow.operators.neighbours import in_order, with_neighbours
 
 H = 3_600_000_000
 DAY = 24 * H
@@ -22,8 +22,13 @@ def test_neighbours_against_whole_windows(spark):
     whole, tiled = Window.partitionBy("k").orderBy("u"), Window.partitionBy("k", "tile").orderBy("u")
     see = lambda w: [F.lag("v", 3).over(w).alias("lag3"), F.lead("v", 3).over(w).alias("lead3"), F.sum("v").over(w.rowsBetween(-3, 3)).alias("s")]
     want = {tuple(r) for r in df.dropna().select("k", "u", *see(whole)).collect()}
-    near = with_neighbours(df, "k", "u", ["v"], 3).select("k", "u", "is_core", *see(tiled)).filter("is_core").drop("is_core")
-    assert {tuple(r) for r in near.collect()} == want
+    for rows_ in (3, 5, 16, 8192):
+        near = with_neighbours(df, "k", "u", ["v"], 3, rows_).select("k", "u", "is_core", *see(tiled)).filter("is_core").drop("is_core")
+        assert sorted(map(tuple, near.collect())) == sorted(want)
+    sizes = [r["count"] for r in with_neighbours(df, "k", "u", ["v"], 3, 16).groupBy("tile").count().collect()]
+    assert max(sizes) <= 22 and with_neighbours(df.limit(0), "k", "u", ["v"], 3).count() == 0  # rows of one key don't gather
+    places = sorted(r.place for r in in_order(df.repartition(5), "k", "u", []).collect())
+    assert places == list(range(df.dropna().count()))
 
 
 def test_axis(spark):
