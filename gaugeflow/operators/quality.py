@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import known
 from gaugeflow.operators.implausible import ALTITUDE_RANGE
-from gaugeflow.operators.joins import lookup_join
 
 log = logging.getLogger(__name__)
 
@@ -47,9 +46,15 @@ def qc_filter(series: DataFrame, bounds: Bounds, ancillary: dict[str, Bounds] |
 def altitude_qc(stations: DataFrame, altitude: str = "altitude") -> DataFrame:
     """stations with altitude FLOAT, null where missing or outside ALTITUDE_RANGE, and altitude_rejected.
 
-    Texts are cast strictly (a bad one raises). The band is tested before the cast to FLOAT, which overflows.
+    A text that is no number raises, naming the station (station_ref, if there is one). The band is tested before the cast
+    to FLOAT, which overflows.
     """
-    wide = known(F.col(altitude).cast("double"))
+    wide = F.col(altitude).cast("double")
+    if dict(stations.dtypes)[altitude] == "string":
+        who = F.col("station_ref").cast("string") if "station_ref" in stations.columns else F.lit("?")
+        told = F.concat(F.lit("altitude of station "), F.coalesce(who, F.lit("?")), F.lit(" is no number: "), F.substring(altitude, 1, 100))
+        wide = F.when(F.col(altitude).isNotNull() & F.col(altitude).try_cast("double").isNull(), F.raise_error(told).cast("double")).otherwise(F.col(altitude).try_cast("double"))
+    wide = known(wide)
     ok = wide.between(*ALTITUDE_RANGE)
     return stations.withColumns({altitude: F.when(ok, wide).cast("float"), "altitude_rejected": F.coalesce(~ok, F.lit(False))})
 
@@ -67,23 +72,31 @@ def alignment_violations(series: DataFrame, step_us: int, us: str = "us") -> Dat
     return series.withColumn("residue_us", F.pmod(F.col(us), F.lit(step_us))).filter("residue_us <> 0")
 
 
+def misaligned(step_us: int, us: str = "us"):
+    """Aggregates: how many times aren't multiples of the step, and the first of them as (us, residue_us)."""
+    residue = F.pmod(F.col(us), F.lit(step_us))
+    return F.count_if(residue != 0), F.min(F.when(residue != 0, F.struct(F.col(us).alias("us"), residue.alias("residue_us"))))
+
+
 def check_aligned(series: DataFrame, step_us: int, us: str = "us") -> None:
     """Raise ValueError with the number, the first offender and its residue if any time is off the step."""
-    bad = alignment_violations(series, step_us, us).agg(F.count("*").alias("n"), F.min(F.struct(us, "residue_us")).alias("first")).first()
+    n, first = misaligned(step_us, us)
+    bad = series.agg(n.alias("n"), first.alias("first")).first()
     if bad["n"]:
-        raise ValueError(f"{bad['n']} times aren't multiples of the step of {step_us} us; first: {bad['first'][us]} us, off by {bad['first']['residue_us']} us")
+        raise ValueError(f"{bad['n']} times aren't multiples of the step of {step_us} us; first: {bad['first']['us']} us, off by {bad['first']['residue_us']} us")
 
 
 def unknown_refs(series: DataFrame, stations: DataFrame) -> DataFrame:
     """(station_ref) of series that stations lack."""
-    return lookup_join(series.select("station_ref").distinct(), stations.select("station_ref").distinct(), ["station_ref"], "left_anti")
+    return series.select("station_ref").distinct().join(stations.select("station_ref").distinct(), "station_ref", "left_anti")
 
 
 def check_refs(series: DataFrame, stations: DataFrame) -> None:
-    """Raise ValueError naming references with data that stations lack."""
-    refs = sorted(str(r[0]) for r in unknown_refs(series, stations).limit(NAMED + 1).collect())
+    """Raise ValueError naming references with data that stations lack: the first NAMED in order, and how many there are."""
+    unknown = unknown_refs(series, stations)
+    refs = [str(r[0]) for r in unknown.orderBy("station_ref").limit(NAMED + 1).collect()]
     if refs:
-        raise ValueError(f"series of unknown stations: {', '.join(refs[:NAMED])}{' and more' if len(refs) > NAMED else ''}")
+        raise ValueError(f"series of unknown stations: {', '.join(refs[:NAMED])}{f' and more, {unknown.count()} in all' if len(refs) > NAMED else ''}")
 
 
 def check_roster(series: DataFrame, declared: list[str], fixed: tuple[str, ...] = ("station_ref", "pos", "ts", "value")) -> None:

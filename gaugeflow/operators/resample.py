@@ -7,12 +7,13 @@ rhythm, and no interval that is covered too thinly. Everything is built-in expre
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import finite, floor_us, need, round_us, us_of
 from gaugeflow.functions.durations import parse_duration_us
 from gaugeflow.operators.neighbours import with_neighbours
+from gaugeflow.session import check_strict
 
 #: The local median looks at this many segments, centred; shorter series use the median of all.
 MEDIAN_SEGMENTS = 15
@@ -22,8 +23,9 @@ def prepare(readings: DataFrame, key: str = "series_key", ts: str = "ts", value:
     """(series_key, us, value): readings without missing times and values, one a time, a repeated time's values averaged.
 
     NaN, null and infinite values, null times and null keys are left out. A text value must be numeric (a bad one
-    raises). round_to rounds times to its nearest multiple, halves up, before repeats are joined.
+    raises; needs ANSI mode, which is checked). round_to rounds times to its nearest multiple, halves up, before repeats are joined.
     """
+    check_strict(readings.sparkSession)
     rows = need(readings, key, ts, value).select(F.col(key).alias("series_key"), us_of(ts).alias("us"), finite(F.col(value).cast("double")).alias("value"))
     rows = rows.filter("series_key IS NOT NULL AND us IS NOT NULL AND value IS NOT NULL")
     if round_to is not None:
@@ -78,7 +80,19 @@ def _sum(seg: DataFrame, f: int, min_coverage: float) -> DataFrame:
     return out.filter(F.least("span", F.lit(float(f))) >= F.lit(float(min_coverage)) * f).select("series_key", "bin", "value")
 
 
-def resample(readings: DataFrame, statistic: str = "mean", freq="1h", max_gap=None, gap_multiplier: float = 3.0, min_coverage: float = 0.75, round_to=None, key: str = "series_key", ts: str = "ts", value: str = "value") -> DataFrame:
+def _arrays(times, values, **args):
+    import numpy as np
+
+    from gaugeflow.sources.series import readings_of
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("there is no Spark session")
+    rows = resample(readings_of(spark, times, values), **args).select(F.unix_micros("ts").alias("us"), "value").orderBy("us").collect()
+    return np.array([r["us"] for r in rows], "int64").astype("datetime64[us]"), np.array([r["value"] for r in rows], float)
+
+
+def resample(readings, values=None, statistic: str = "mean", freq="1h", max_gap=None, gap_multiplier: float = 3.0, min_coverage: float = 0.75, round_to=None, key: str = "series_key", ts: str = "ts", value: str = "value"):
     """(series_key, ts, value): one row per series and interval that is covered well enough, labelled by its start.
 
     Intervals are multiples of freq since 1970 (UTC). 'mean' interpolates between consecutive readings unless they are
@@ -86,10 +100,15 @@ def resample(readings: DataFrame, statistic: str = "mean", freq="1h", max_gap=No
     covered; a series with one reading gives nothing. 'sum' counts a reading in the interval that ends at or holds it;
     each covers the time back to the one before, at most the local median, and max_gap has no effect. No zero is
     made up for an interval without reading. Missing readings: see prepare(). Rows come in no order.
+
+    Given times and values of one series in Python (see series.readings_of) instead of a DataFrame, it returns two numpy
+    arrays, labels as datetime64[us] in order and values.
     """
     f = parse_duration_us(freq)
     if statistic not in ("mean", "sum"):
         raise ValueError(f"unsupported statistic {statistic!r}: 'mean' or 'sum'")
+    if values is not None:
+        return _arrays(readings, values, statistic=statistic, freq=freq, max_gap=max_gap, gap_multiplier=gap_multiplier, min_coverage=min_coverage, round_to=round_to)
     seg = segments(prepare(readings, key, ts, value, round_to))
     hole = gap_threshold(max_gap, gap_multiplier)
     out = _mean(seg, f, hole, min_coverage) if statistic == "mean" else _sum(seg, f, min_coverage)

@@ -41,8 +41,10 @@ def create_once(spark: SparkSession, path: str, text: str) -> None:
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs, to = hadoop_path(spark, path)
-    to = fs.makeQualified(to)
     scheme = fs.getUri().getScheme()
+    if scheme not in RENAMES and scheme not in CONDITIONAL:
+        raise NotImplementedError(f"no way is known to create a file once only on {scheme}://")
+    to = fs.makeQualified(to)
     if scheme in CONDITIONAL:
         if fs.exists(to):
             raise FileExistsError(path)
@@ -58,8 +60,6 @@ def create_once(spark: SparkSession, path: str, text: str) -> None:
                 raise FileExistsError(path) from e
             raise
         return
-    if scheme not in RENAMES:
-        raise NotImplementedError(f"no way is known to create a file once only on {scheme}://")
     _, tmp = hadoop_path(spark, f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}")
     fs.mkdirs(to.getParent())
     out = fs.create(tmp, False)

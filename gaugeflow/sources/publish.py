@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.session import hadoop_path
-from gaugeflow.sources.dataset import Dataset, _read_text, build_local, merge_dataset, write_once
+from gaugeflow.sources.dataset import Dataset, build_local, merge_dataset, write_facts
+from gaugeflow.sources.files import create_once, names_in, read_text
 
 
 class Catalogue:
@@ -29,43 +30,54 @@ class Catalogue:
         body = json.dumps(ds.manifest, sort_keys=True).encode()
         return {"metadata": meta, "dataset_version_id": hashlib.sha256(body).hexdigest(), "state": "valid", "standard_name": ds.manifest["variables"][ds.manifest["variable"]].get("standard_name")}
 
+    def member_id(self, member_uri: str) -> str:
+        """Folder of a member's entries."""
+        return hashlib.sha256(member_uri.encode()).hexdigest()[:16]
+
     def entries(self, member: str) -> list[dict]:
-        fs, p = hadoop_path(self.spark, f"{self.path}/{member}")
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        return [json.loads(_read_text(self.spark, f"{self.path}/{member}/{n}")) for n in names if n.endswith(".json") and not n.startswith("_")]
-
-    def publish(self, ds: Dataset, member_uri: str) -> dict:
-        """Copy what the member lacks, the manifest last, then make the entry. Publishing a version again changes nothing."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        known = self.validate(ds)
-        member = hashlib.sha256(member_uri.encode()).hexdigest()[:16]
-        copied = 0
-        folders = sorted({f"{w}/month={m}" for m, w in ds.manifest["months"].items()} | {ds.manifest["stations"]})
-        for what in [*folders, f"manifests/{ds.version:012d}.json"]:
-            (a, src), (b, dst) = hadoop_path(self.spark, f"{ds.path}/{what}"), hadoop_path(self.spark, f"{member_uri}/{what}")
-            if b.exists(dst) and (b.getFileStatus(dst).isFile() or b.exists(hadoop_path(self.spark, f"{member_uri}/{what}/_COPIED")[1])):
-                continue
-            b.delete(dst, True)  # a copy that broke off
-            b.mkdirs(dst.getParent())
-            jvm.org.apache.hadoop.fs.FileUtil.copy(a, src, b, dst, False, True, conf)
-            if not what.endswith(".json"):
-                b.create(hadoop_path(self.spark, f"{member_uri}/{what}/_COPIED")[1], True).close()
-            copied += 1
+        names = sorted(n for n in names_in(self.spark, f"{self.path}/{member}") if n.endswith(".json"))
+        return [json.loads(read_text(self.spark, f"{self.path}/{member}/{n}")) for n in names]
+
+    def publish(self, ds: Dataset, member_uri: str, num_groups: int | None = None) -> dict:
+        """Copy what the member lacks, the manifest last, then make the entry. Publishing a version again changes nothing.
+
+        Months whose facts the member has from an earlier version stay; the others are written by the executors (in
+        num_groups files, if given) to a folder of their own that counts once the member's manifest names it, so a copy
+        that breaks off leaves nothing but an unread folder. copied counts months, the stations and the manifest.
+        """
+        known, uri, copied = self.validate(ds), member_uri.rstrip("/"), 0
+        name = f"{ds.version:012d}.json"
+        there = sorted(n for n in names_in(self.spark, f"{uri}/manifests") if n.endswith(".json"))
+        if name not in there:
+            last = json.loads(read_text(self.spark, f"{uri}/manifests/{there[-1]}")) if there else {"months": {}, "copied_from": {}}
+            have, source = last["copied_from"], {m: w for m, w in ds.manifest["months"].items()} | {"stations": ds.manifest["stations"]}
+            new = sorted(m for m, w in ds.manifest["months"].items() if have.get(m) != w)
+            tag = uuid.uuid4().hex
+            months = {m: last["months"][m] for m in ds.manifest["months"] if m not in new}
+            if new:
+                part = Dataset(self.spark, ds.path, ds.version)
+                part.manifest = ds.manifest | {"months": {m: ds.manifest["months"][m] for m in new}}
+                months |= write_facts(part.facts(), uri, tag, ds.manifest.get("chunk_shape"), num_groups)
+            stations = last.get("stations")
+            if have.get("stations") != source["stations"]:
+                ds.stations().write.parquet(f"{uri}/stations/{tag}")
+                stations, copied = f"stations/{tag}", 1
+            create_once(self.spark, f"{uri}/manifests/{name}", json.dumps(ds.manifest | {"months": months, "stations": stations, "copied_from": source}, sort_keys=True))
+            copied += len(new) + 1
         entry = known | {"member": member_uri, "version": ds.version}
         try:
-            write_once(self.spark, f"{self.path}/{member}/{ds.version:012d}.json", json.dumps(entry, sort_keys=True))
+            create_once(self.spark, f"{self.path}/{self.member_id(member_uri)}/{name}", json.dumps(entry, sort_keys=True))
         except FileExistsError:
             pass
         return entry | {"copied": copied}
 
 
-def build_and_publish(catalogue: Catalogue, path: str, member_uri: str, meta: dict, stations: DataFrame, series: DataFrame, **build) -> dict:
+def build_and_publish(catalogue: Catalogue, path: str, member_uri: str, meta: dict, stations: DataFrame, series: DataFrame, *, num_groups: int | None = None, **build) -> dict:
     """build_local, then publish; the entry."""
-    return catalogue.publish(build_local(path, meta, stations, series, **build), member_uri)
+    return catalogue.publish(build_local(path, meta, stations, series, **build), member_uri, num_groups)
 
 
-def update_and_publish(catalogue: Catalogue, path: str, member_uri: str, stations: DataFrame, series: DataFrame) -> dict:
+def update_and_publish(catalogue: Catalogue, path: str, member_uri: str, stations: DataFrame, series: DataFrame, *, variable: str | None = None, num_groups: int | None = None) -> dict:
     """merge_dataset, then publish, also if the merge had nothing to do; {'merge': report, 'publish': entry}."""
-    ds, report = merge_dataset(Dataset(catalogue.spark, path), stations, series)
-    return {"merge": report, "publish": catalogue.publish(ds, member_uri)}
+    ds, report = merge_dataset(Dataset(catalogue.spark, path), stations, series, variable=variable)
+    return {"merge": report, "publish": catalogue.publish(ds, member_uri, num_groups)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeflow.sources.dataset import Dataset, merge_dataset
+from gaugeflow.sources.dataset import BeforeAxis, Dataset, merge_dataset
 
 
 def merge_stream(series: DataFrame, stations: DataFrame, path: str, checkpoint: str, on_report: Callable[[int, dict], None] | None = None, **trigger) -> StreamingQuery:
@@ -23,9 +23,7 @@ def merge_stream(series: DataFrame, stations: DataFrame, path: str, checkpoint:
         ds = Dataset(spark, path)
         try:
             _, report = merge_dataset(ds, stations, batch)
-        except ValueError as e:
-            if "before the stored axis" not in str(e):
-                raise
+        except BeforeAxis:
             report = {"dropped_before_axis": batch.count()}
         if on_report:
             on_report(batch_id, report)

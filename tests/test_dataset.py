@@ -3,7 +3,8 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
-from gaugeflow.sources.dataset import REPORT, Dataset, build_local, merge_dataset
+from gaugeflow.sources.dataset import REPORT, BeforeAxis, Dataset, build_local, encodable_range, merge_dataset
+from gaugeflow.sources.files import create_once, names_in, read_text
 from gaugeflow.sources.publish import Catalogue, build_and_publish, update_and_publish
 from gaugeflow.streaming.merge import merge_stream
 
@@ -11,7 +12,7 @@ T0 = datetime(2020, 1, 1, tzinfo=UTC)
 META = {"frequency_interval": "1h", "utc_offset": "+00:00", "owner": "x"}
 CODE = {"code": {"units": "1", "precision": 0, "min": 0, "max": 1000, "attrs": {"long_name": "quality"}}}
 ENC = {"variable": "streamflow", "units": "m^3/s", "precision": 4, "min_value": 0.0, "max_value": 100000.0}
-PLACES = {"A": (172.5, -43.5, "Alpha"), "B": (171.9, -43.1, "Bravo"), "C": (170.0, -44.0, "Charlie"), "D": (169.0, -45.0, "Delta")}
+PLACES = {"A": (8.25, 47.5, "Weir"), "B": (9.75, 46.25, "Gorge"), "C": (10.5, 45.0, "Bridge"), "D": (11.0, 44.5, "Mouth")}
 
 
 def stations(spark, refs="AB", altitudes=None, kind="double"):
@@ -137,7 +138,7 @@ def test_altitudes(spark, tmp_path, caplog):
     got = {r.station_ref: r.station_altitude for r in ds.stations().collect()}
     assert got == {"A": pytest.approx(123.4, rel=1e-6), "B": None, "C": None, "D": None}
     assert "B, C" in caplog.text and "station_altitude" in ds.manifest["variables"]
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+    with pytest.raises(Exception, match="altitude of station A is no number: n/a"):
         build_local(f"{tmp_path}/b", META, stations(spark, "AB", {"A": "n/a"}, "string"), series(spark, BASE), **ENC)
 
 
@@ -173,6 +174,86 @@ def test_publish_and_update(spark, tmp_path):
     assert [e["version"] for e in cat.entries(__import__("hashlib").sha256(member.encode()).hexdigest()[:16])] == [1, 2]
 
 
+def test_publish_names_what_it_copied(spark, base, tmp_path):
+    cat, member = Catalogue(spark, f"{tmp_path}/cat"), f"{tmp_path}/member"
+    assert cat.publish(base, member, num_groups=2)["copied"] == 3
+    ds, _ = merge_dataset(base, stations(spark, "ABC"), series(spark, {"C": (24 * 40, [9.0])}), variable="streamflow")
+    assert cat.publish(ds, member)["copied"] == 3  # the new month, the stations, the manifest
+    copy = Dataset(spark, member)
+    assert view(copy) == view(ds) and copy.manifest["months"]["2020-01"] != copy.manifest["months"]["2020-02"]
+    with pytest.raises(ValueError, match="holds 'streamflow'"):
+        update_and_publish(cat, base.path, member, stations(spark), series(spark, BASE), variable="stage")
+
+
+def test_a_commit_counts_once(spark, tmp_path):
+    create_once(spark, f"{tmp_path}/c/1.json", "a")
+    with pytest.raises(FileExistsError):
+        create_once(spark, f"{tmp_path}/c/1.json", "b")
+    assert read_text(spark, f"{tmp_path}/c/1.json") == "a" and names_in(spark, f"{tmp_path}/c") == ["1.json"] and names_in(spark, f"{tmp_path}/none") == []
+    with pytest.raises(NotImplementedError, match="once only"):
+        create_once(spark, "ftp://host/x.json", "a")
+
+
+def test_other_session_zones_lose_nothing(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql("SELECT 'A' AS station_ref, 0 AS pos, TIMESTAMP_NTZ'2020-01-31 23:00:00' AS ts, 5.0D AS value UNION ALL SELECT 'A', 1, TIMESTAMP_NTZ'2020-02-01 02:00:00', 6.0D")
+        ds = build_local(f"{tmp_path}/z", META, stations(spark, "A"), rows, **ENC)
+        t0, step, n = ds.axis()
+        assert t0 == 1_580_511_600_000_000 and n == 4 and sorted(ds.manifest["months"]) == ["2020-01", "2020-02"]
+        assert ds.facts(lo_us=t0).count() == 2 and ds.facts(lo_us=t0 + step).count() == 1 and ds.facts(hi_us=t0).count() == 1
+        ds, _ = merge_dataset(ds, stations(spark, "A"), rows)
+        assert view(ds) == {"A": [5, None, None, 6]}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_the_axis_is_checked_against_what_is_stored(spark, base):
+    late = series(spark, {"A": (1, [1.0])})
+    for change, word in (({"step_us": 60_000_000}, "another step"), ({"n_steps": 0}, "empty"), ({"t0_us": base.axis()[0] + 1}, "off the step"), ({"n_steps": 2}, "outside")):
+        broken = Dataset(spark, base.path)
+        broken.manifest["axis"] = broken.manifest["axis"] | change
+        with pytest.raises(ValueError, match=word):
+            merge_dataset(broken, stations(spark), late if word != "outside" else series(spark, {"A": (0, [1.0] * 4)}))
+    assert Dataset(spark, base.path).version == 1
+
+
+def test_limits_fall_back_to_what_can_be_encoded(spark, base):
+    assert encodable_range(2, 0.0, 100.0) == (0.0, 655.34) and encodable_range(0, -5.0, 200.0) == (-5.0, 249.0)
+    ds = Dataset(spark, base.path)
+    for k in ("valid_min", "valid_max"):
+        del ds.manifest["variables"]["streamflow"][k]
+    top = encodable_range(4, 0.0, 100000.0)[1]
+    ds, report = merge_dataset(ds, stations(spark), series(spark, {"A": (0, [top, top + 1, -0.001])}))
+    assert report["qc_rejected"] == 2 and view(ds)["A"] == [pytest.approx(top), 2, 3, 4]
+
+
+def test_one_station_and_old_versions(spark, base):
+    ds, _ = merge_dataset(base, stations(spark), series(spark, {"A": (2, [30.0])}))
+    a = next(r.station_id for r in ds.stations().collect() if r.station_ref == "A")
+    assert ds.facts(station_ids=[a]).count() == 4 and {r.station_id for r in ds.facts(station_ids=[a]).collect()} == {a}
+    assert ds.expire() == 1 and view(Dataset(spark, base.path))["A"] == [1, 2, 30, 4]
+    with pytest.raises(Exception):
+        Dataset(spark, base.path, 1)
+
+
+def test_chunks_bound_files(spark, tmp_path):
+    ds = build_local(f"{tmp_path}/k", META, stations(spark), series(spark, {"A": (0, [1.0] * 50), "B": (0, [2.0] * 50)}), **ENC, chunk_shape=(1, 20))
+    files = list((tmp_path / "k" / "facts").rglob("*.parquet"))
+    assert len(files) >= 5 and ds.facts().count() == 100
+
+
+def test_many_unknown_stations_are_counted(spark, tmp_path):
+    rows = spark.range(25).selectExpr("format_string('x%02d', id) AS station_ref", "0 AS pos", "TIMESTAMP'2020-01-01 00:00:00' AS ts", "1.0D AS value")
+    with pytest.raises(ValueError, match="x00, x01, .*x09 and more, 25 in all"):
+        build_local(f"{tmp_path}/x", META, stations(spark), rows, **ENC)
+
+
+def test_before_the_axis_is_an_error_of_its_own(spark, base):
+    with pytest.raises(BeforeAxis):
+        merge_dataset(base, stations(spark), series(spark, {"A": (-3, [1.0])}))
+
+
 def test_stream(spark, base, tmp_path):
     series(spark, {"A": (3, [9.0, 8.0])}).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("station_ref string, pos int, ts timestamp, value double").parquet(f"{tmp_path}/in")

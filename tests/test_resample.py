@@ -1,6 +1,6 @@
 """Hand-computed expectations; times are HH:MM of 2020-01-01 unless a date is given."""
 
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime, timedelta, timezone
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -116,3 +116,29 @@ def test_series_longer_than_a_tile(spark):
 def test_mean_of_a_constant(spark, minutes, value):
     got = run(spark, [(DAY + timedelta(minutes=m), value) for m in minutes], min_coverage=0, gap_multiplier=1e9)
     assert got and all(v == pytest.approx(value, rel=1e-9, abs=1e-9) for v in got.values())
+
+
+def test_arrays_of_python(spark):
+    import numpy as np
+    import pandas as pd
+
+    day = datetime(2020, 1, 1)
+    times = [day + timedelta(minutes=15 * i) for i in range(9)]
+    values = [float(i) for i in range(9)]
+    zone = timezone(timedelta(hours=5))
+    forms = (
+        times, [t.isoformat() for t in times], np.array(times, "datetime64[ns]"), np.array(times, "datetime64[s]"), pd.Series(times), pd.DatetimeIndex(times).tz_localize("UTC"),
+        pd.Series(times).dt.tz_localize("UTC").dt.tz_convert("Asia/Tokyo"), [t.replace(tzinfo=UTC).astimezone(zone) for t in times], [*times, None], [*times, pd.NaT],
+    )
+    for form in forms:
+        t, v = resample(form, values + [9.0] * (len(form) - 9))
+        assert t.dtype == "datetime64[us]" and t.tolist() == times[:8:4] and v.tolist() == [2.0, 6.0]
+    t, v = resample(np.array(["3000-01-01", "3000-01-02"], "datetime64[D]"), ["1", None], statistic="sum", min_coverage=0)
+    assert t.tolist() == [datetime(2999, 12, 31, 23)] and v.tolist() == [1.0]
+    assert resample([], [])[0].dtype == "datetime64[us]" and resample([], [])[1].size == 0
+    for bad, kind in (([float("nan")], TypeError), ([5], TypeError), (["x"], ValueError)):
+        with pytest.raises(kind):
+            resample(bad, [1.0])
+    for bad in (["n/a"], [1.0, 2.0]):
+        with pytest.raises(ValueError):
+            resample([day], bad)
