@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import finite, floor_us, known, us_of
 from gaugeflow.operators import axis, quality
-from gaugeflow.operators.current import current_stations, usable_readings
+from gaugeflow.operators.current import current_series, current_stations, usable_readings
+from gaugeflow.operators.joins import lookup_join
 from gaugeflow.operators.resample import gap_threshold, prepare, resample, segments
 from gaugeflow.session import shared_dir
 from gaugeflow.sources.dataset import Dataset, build_local, merge_dataset
-from gaugeflow.sources.publish import Catalogue
+from gaugeflow.sources.publish import Catalogue, update_and_publish
 from gaugeflow.sources.series import series_from_arrays as unpack_series
 from gaugeflow.sources.tables import table
 from gaugeflow.streaming.merge import merge_stream
@@ -25,7 +27,7 @@ DAY = 24 * HOUR
 #: Stored slots end and incoming ones begin at these times of 2024, µs since 1970.
 STORED_TO = 1_705_708_800_000_000
 INCOMING_FROM = 1_705_276_800_000_000
-EVENT_ARGS = {"key": "event_type"}
+
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -138,35 +140,50 @@ def altitude_qc(spark, d):
 
 
 _META = {"frequency_interval": "1h", "utc_offset": "+00:00"}
-_BUILD = {"variable": "streamflow", "units": "m^3/s", "precision": 2, "min_value": 0.0, "max_value": 450.0, "ancillary": {"code": {"units": "1", "precision": 0, "min": 0.0, "max": 120.0}}}
-
+_BUILD = {"variable": "reading", "units": "1", "precision": 6, "min_value": 0.0, "max_value": 100.0, "ancillary": {"code": {"units": "1", "precision": 0, "min": 0.0, "max": 500.0}}}
+#: Of the merge that leaves a gap, stored rows end here and incoming ones begin 90 days later, µs since 1970.
+GAP_FROM = 1_685_577_600_000_000
 
-def _event_stations(spark, d):
-    return _events(spark, d).groupBy(F.col("event_type").alias("station_ref")).agg(F.min("event_id").cast("double").alias("lon")).select("station_ref", "lon", F.lit(0.0).alias("lat"), F.col("station_ref").alias("name"), F.lit(5.0).alias("altitude"))
 
+def _given(spark, d, which: str = "all"):
+    """Current readings of the deliveries that arrived in the first half of the time ('early'), after it, or of all, put to
+    hourly slots; within a slot the last time has the highest pos."""
+    deliveries, series = table(spark, d, "deliveries"), table(spark, d, "series")
+    if which != "all":
+        arrived = us_of("arrived_at")
+        r = deliveries.agg(F.min(arrived).alias("lo"), F.max(arrived).alias("hi")).first()
+        middle = (r["lo"] + r["hi"]) // 2
+        mine = deliveries.filter(arrived <= middle if which == "early" else arrived > middle)
+        series = lookup_join(series, mine.select("delivery_id").distinct(), ["delivery_id"], "left_semi")
+    return current_series(series, deliveries).select("station_ref", F.col("us").alias("pos"), F.timestamp_micros(floor_us(F.col("us"), HOUR)).alias("ts"), "value", "code")
 
-def _event_series(spark, d, keep):
-    e = _events(spark, d).select(F.col("event_type").alias("station_ref"), F.col("event_id").alias("pos"), floor_us(us_of("ts"), HOUR).alias("us"), F.col("value").cast("double").alias("value"), F.when(F.col("user_id") % 3 > 0, F.col("user_id").cast("double")).alias("code"))
-    return e.filter(keep).select("station_ref", "pos", F.timestamp_micros("us").alias("ts"), "value", "code")
 
+def _places(spark, d):
+    return current_stations(table(spark, d, "stations"), table(spark, d, "deliveries")).select("station_ref", "lon", "lat", "name", "altitude")
 
-def _built(spark, d) -> Dataset:
-    import uuid
 
+def _built(spark, d, given) -> Dataset:
+    """A dataset of the readings given and of the stations that have any."""
     path = f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}"
-    return build_local(path, _META, _event_stations(spark, d), _event_series(spark, d, F.col("us") < STORED_TO), **_BUILD)
+    places = lookup_join(_places(spark, d), given.select("station_ref").distinct(), ["station_ref"], "left_semi")
+    return build_local(path, _META, places, given, **_BUILD)
 
 
-def _merged(spark, d):
-    return merge_dataset(_built(spark, d), _event_stations(spark, d), _event_series(spark, d, F.col("us") >= INCOMING_FROM))
+def _merged(spark, d, stored="early", incoming="late"):
+    return merge_dataset(_built(spark, d, _given(spark, d, stored)), _places(spark, d), _given(spark, d, incoming), variable="reading")
 
 
 def _facts(ds: Dataset) -> DataFrame:
-    return ds.facts().join(F.broadcast(ds.stations().select("station_id", "station_ref")), "station_id").select("station_ref", "us", "value", "code")  # a row an event type
+    return lookup_join(ds.facts(), ds.stations().select("station_id", "station_ref"), ["station_id"]).select("station_ref", "us", "value", "code")
 
 
 def dataset_build(spark, d):
-    return _facts(_built(spark, d))
+    return _facts(_built(spark, d, _given(spark, d)))
+
+
+def dataset_stations(spark, d):
+    """Stations of the dataset; altitudes outside the possible are left out."""
+    return _built(spark, d, _given(spark, d)).stations().select("station_ref", "station_name", "lon", "lat", F.col("station_altitude").cast("double").alias("altitude"))
 
 
 def dataset_merge(spark, d):
@@ -175,26 +192,46 @@ def dataset_merge(spark, d):
 
 def dataset_merge_twice(spark, d):
     ds, _ = _merged(spark, d)
-    return _facts(merge_dataset(ds, _event_stations(spark, d), _event_series(spark, d, F.col("us") >= INCOMING_FROM))[0])
+    return _facts(merge_dataset(ds, _places(spark, d), _given(spark, d, "late"))[0])
+
+
+def dataset_merge_back(spark, d):
+    """The later deliveries first, then the earlier ones: what lies before the axis is dropped."""
+    return _facts(_merged(spark, d, "late", "early")[0])
 
 
 def merge_report(spark, d):
-    _, report = _merged(spark, d)
-    return spark.createDataFrame([tuple(int(v) for v in report.values())], ", ".join(f"{k} bigint" for k in report))
+    """Reports of merges: later deliveries onto earlier ones, the other way about, after a gap, and of nothing."""
+    every = _given(spark, d)
+    us = F.unix_micros("ts")
+    ds = _built(spark, d, every.filter(us < GAP_FROM))
+    reports = {
+        "forward": _merged(spark, d)[1],
+        "back": _merged(spark, d, "late", "early")[1],
+        "gap": merge_dataset(ds, _places(spark, d), every.filter(us >= GAP_FROM + 90 * DAY))[1],
+        "nothing": merge_dataset(ds, _places(spark, d), every.limit(0))[1],
+    }
+    return spark.createDataFrame([(k, *(int(v) for v in r.values())) for k, r in reports.items()], "merge string, " + ", ".join(f"{k} bigint" for k in next(iter(reports.values()))))
 
 
 def publish_entry(spark, d):
-    ds = _built(spark, d)
-    entry = Catalogue(spark, f"{ds.path}-catalogue").publish(ds, f"{ds.path}-member")
-    return spark.createDataFrame([(entry["dataset_version_id"], entry["state"], entry["version"], entry["copied"])], "dataset_version_id string, state string, version bigint, copied bigint")
+    """Entries of a dataset that is published, merged and published again, and published once more."""
+    ds = _built(spark, d, _given(spark, d, "early"))
+    cat, member = Catalogue(spark, f"{ds.path}-catalogue"), f"{ds.path}-member"
+    entries = [cat.publish(ds, member), update_and_publish(cat, ds.path, member, _places(spark, d), _given(spark, d, "late"), variable="reading")["publish"]]
+    last = Dataset(spark, ds.path)
+    entries.append(cat.publish(last, member))
+    copy = Dataset(spark, member)
+    rows = [(i, e["state"], e["version"], e["metadata"]["frequency_interval"], e["copied"] > 0, copy.axis()[2], len(copy.manifest["months"]), copy.facts().count()) for i, e in enumerate(entries)]
+    return spark.createDataFrame(rows, "step int, state string, version bigint, frequency_interval string, copied_any boolean, n_steps bigint, months bigint, facts bigint")
 
 
 def stream_merge(spark, d):
-    """The later events, streamed from Parquet files into a dataset of the earlier ones."""
-    ds = _built(spark, d)
-    _event_series(spark, d, F.col("us") >= INCOMING_FROM).write.parquet(f"{ds.path}-stream")
+    """The later deliveries, streamed from Parquet files into a dataset of the earlier ones."""
+    ds = _built(spark, d, _given(spark, d, "early"))
+    _given(spark, d, "late").write.parquet(f"{ds.path}-stream")
     source = spark.readStream.schema("station_ref string, pos bigint, ts timestamp, value double, code double").parquet(f"{ds.path}-stream")
-    merge_stream(source, _event_stations(spark, d), ds.path, f"{ds.path}-checkpoint").awaitTermination()
+    merge_stream(source, _places(spark, d), ds.path, f"{ds.path}-checkpoint").awaitTermination()
     return _facts(Dataset(spark, ds.path))
 
 
@@ -213,7 +250,7 @@ _ARGS = {
 }
 _PLAIN = (
     drop_missing, series_from_arrays, dup_collapse, round_to_1min, local_median, hole_flags, resample_stations_1h, qc_counts, axis_bounds, dense_grid, gap_steps, alignment_violations, unknown_refs,
-    active_stations, new_stations, merge_overlay, altitude_qc, dataset_build, dataset_merge, dataset_merge_twice, merge_report, publish_entry, stream_merge,
+    active_stations, new_stations, merge_overlay, altitude_qc, dataset_build, dataset_stations, dataset_merge, dataset_merge_twice, dataset_merge_back, merge_report, publish_entry, stream_merge,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _PLAIN} | {k: partial(_resampled, **a) for k, a in _ARGS.items()} | {"qc_filter": _qc}
 
@@ -258,15 +295,37 @@ _QC = """qc AS (
 )"""
 
 
-def _stored_sql(where: str) -> str:
-    return f"""SELECT station_ref, us, CASE WHEN value BETWEEN 0 AND 450 THEN round(value, 2) END AS value,
-    CASE WHEN (value IS NULL OR value BETWEEN 0 AND 450) AND code BETWEEN 0 AND 120 THEN code END AS code FROM (
-  SELECT event_type AS station_ref, {_FLOOR("epoch_us(ts)", HOUR)} AS us, value, CASE WHEN user_id % 3 > 0 THEN user_id::DOUBLE END AS code, event_id FROM events
-) WHERE {where} {_LAST}"""
+_HALF = "(SELECT (min(epoch_us(arrived_at)) + max(epoch_us(arrived_at))) // 2 FROM deliveries)"
+_WHICH = {"early": f"epoch_us(d.arrived_at) <= {_HALF}", "late": f"epoch_us(d.arrived_at) > {_HALF}", "all": "TRUE"}
+
+
+def _given_sql(which: str) -> str:
+    return f"""SELECT station_ref, {_FLOOR("us", HOUR)} AS us, us AS pos, value, code FROM (
+  SELECT s.station_ref, epoch_us(s.ts) AS us, CASE WHEN NOT isnan(s.value) THEN s.value END AS value, CASE WHEN NOT isnan(s.quality_code) THEN s.quality_code END AS code
+  FROM series s JOIN deliveries d USING (delivery_id) WHERE {_WHICH[which]} AND ((s.value IS NOT NULL AND NOT isnan(s.value)) OR (s.quality_code IS NOT NULL AND NOT isnan(s.quality_code)))
+  QUALIFY row_number() OVER (PARTITION BY s.station_ref, s.ts ORDER BY d.arrived_at DESC, s.delivery_id DESC, s.pos DESC) = 1
+)"""
+
+
+def _stored_sql(given: str) -> str:
+    return f"""SELECT * FROM (
+  SELECT station_ref, us, CASE WHEN value BETWEEN 0 AND 100 THEN round(value, 6) END AS value, CASE WHEN (value IS NULL OR value BETWEEN 0 AND 100) AND code BETWEEN 0 AND 500 THEN round(code, 0) END AS code
+  FROM {given} QUALIFY row_number() OVER (PARTITION BY station_ref, us ORDER BY pos DESC) = 1
+) WHERE coalesce(value, code) IS NOT NULL"""
+
+
+def _merged_sql(stored: str, incoming: str) -> str:
+    return f"""WITH a AS ({_given_sql(stored)}), b AS (SELECT * FROM ({_given_sql(incoming)}) WHERE us >= (SELECT min(us) FROM a)), stored AS ({_stored_sql("a")}), incoming AS ({_stored_sql("b")})
+SELECT * FROM stored s ANTI JOIN incoming i ON i.station_ref = s.station_ref AND i.us = s.us UNION ALL SELECT * FROM incoming"""
+
+
+def _report_sql(name: str, stored: str, incoming: str) -> str:
+    return f"""SELECT '{name}' AS merge, * FROM (WITH a AS ({stored}), b AS ({incoming}), e AS (SELECT min(us) AS lo, max(us) AS hi FROM a), f AS (SELECT min(us) AS lo, max(us) AS hi FROM b)
+  SELECT (SELECT count(DISTINCT station_ref) FROM b WHERE station_ref NOT IN (SELECT station_ref FROM a)) AS new_stations, greatest((f.hi - e.hi) // {HOUR}, 0) AS new_steps, (f.hi - greatest(f.lo, e.lo)) // {HOUR} + 1 AS written_block,
+    greatest((f.lo - e.hi) // {HOUR} - 1, 0) AS gap_steps, (SELECT count(*) FROM b WHERE NOT (value BETWEEN 0 AND 100)) AS qc_rejected, (SELECT count(*) FROM b WHERE NOT (code BETWEEN 0 AND 500)) AS anc_qc_rejected,
+    (SELECT count(*) FROM b WHERE us < e.lo) AS dropped_before_axis FROM e, f)"""
 
 
-_MERGED = f"""WITH stored AS ({_stored_sql(f"us < {STORED_TO}")}), incoming AS (SELECT * FROM ({_stored_sql(f"us >= {INCOMING_FROM}")}) WHERE coalesce(value, code) IS NOT NULL)
-SELECT * FROM (SELECT * FROM stored s ANTI JOIN incoming i ON i.station_ref = s.station_ref AND i.us = s.us) WHERE coalesce(value, code) IS NOT NULL UNION ALL SELECT * FROM incoming"""
 _RANKED = "SELECT s.*, row_number() OVER (PARTITION BY station_ref ORDER BY arrived_at DESC NULLS LAST, loaded_at DESC) AS rn FROM stations s LEFT JOIN deliveries USING (delivery_id)"
 
 SQL: dict[str, str] = {
@@ -311,12 +370,20 @@ SELECT s.station_ref, t.us, l.value, l.code FROM (SELECT DISTINCT station_ref FR
 ), given AS (SELECT * FROM incoming WHERE coalesce(value, code) IS NOT NULL)
 SELECT * FROM stored s ANTI JOIN given g ON g.station_ref = s.station_ref AND g.us = s.us UNION ALL SELECT * FROM given""",
     "altitude_qc": "SELECT s_suppkey, CASE WHEN s_acctbal BETWEEN -500 AND 9000 THEN s_acctbal::FLOAT::DOUBLE END AS altitude, NOT (s_acctbal BETWEEN -500 AND 9000) AS altitude_rejected FROM supplier",
-    "dataset_build": f"SELECT * FROM ({_stored_sql(f'us < {STORED_TO}')}) WHERE coalesce(value, code) IS NOT NULL",
-    "dataset_merge": _MERGED,
-    "dataset_merge_twice": _MERGED,
-    "stream_merge": _MERGED,
-    "merge_report": f"""WITH e AS (SELECT {_FLOOR("epoch_us(ts)", HOUR)} AS us, value, CASE WHEN user_id % 3 > 0 THEN user_id END AS code FROM events),
-b AS (SELECT max(us) FILTER (us < {STORED_TO}) AS stored_to, min(us) FILTER (us >= {INCOMING_FROM}) AS lo, max(us) AS hi FROM e)
-SELECT 0::BIGINT AS new_stations, greatest((hi - stored_to) // {HOUR}, 0) AS new_steps, (hi - lo) // {HOUR} + 1 AS written_block, greatest((lo - stored_to) // {HOUR} - 1, 0) AS gap_steps,
-  (SELECT count(*) FROM e WHERE us >= {INCOMING_FROM} AND NOT (value BETWEEN 0 AND 450)) AS qc_rejected, (SELECT count(*) FROM e WHERE us >= {INCOMING_FROM} AND NOT (code BETWEEN 0 AND 120)) AS anc_qc_rejected, 0::BIGINT AS dropped_before_axis FROM b""",
+    "dataset_build": f"WITH given AS ({_given_sql('all')}) {_stored_sql('given')}",
+    "dataset_stations": f"""SELECT station_ref, name AS station_name, lon, lat, CASE WHEN altitude BETWEEN -500 AND 9000 THEN altitude::FLOAT::DOUBLE END AS altitude FROM ({_RANKED}) WHERE rn = 1
+AND station_ref IN (SELECT station_ref FROM ({_given_sql('all')}))""",
+    "dataset_merge": _merged_sql("early", "late"),
+    "dataset_merge_twice": _merged_sql("early", "late"),
+    "dataset_merge_back": _merged_sql("late", "early"),
+    "stream_merge": _merged_sql("early", "late"),
+    "publish_entry": f"""WITH a AS ({_given_sql("all")}), merged AS ({_merged_sql("early", "late")})
+SELECT unnest([0, 1, 2])::INT AS step, 'valid' AS state, unnest([1, 2, 2])::BIGINT AS version, '1h' AS frequency_interval, unnest([TRUE, TRUE, FALSE]) AS copied_any,
+  ((SELECT max(us) FROM a) - (SELECT min(us) FROM ({_given_sql("early")}))) // {HOUR} + 1 AS n_steps, (SELECT count(DISTINCT strftime(make_timestamp(us), '%Y-%m')) FROM merged) AS months, (SELECT count(*) FROM merged) AS facts""",
+    "merge_report": " UNION ALL ".join((
+        _report_sql("forward", _given_sql("early"), _given_sql("late")),
+        _report_sql("back", _given_sql("late"), _given_sql("early")),
+        _report_sql("gap", f"SELECT * FROM ({_given_sql('all')}) WHERE us < {GAP_FROM}", f"SELECT * FROM ({_given_sql('all')}) WHERE us >= {GAP_FROM + 90 * DAY}"),
+        "SELECT 'nothing', 0, 0, 0, 0, 0, 0, 0",
+    )),
 }
