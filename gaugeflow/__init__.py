@@ -5,7 +5,7 @@ from gaugeflow.operators.resample import resample
 from gaugeflow.sources.dataset import build_local, merge_dataset
 from gaugeflow.sources.publish import Catalogue, build_and_publish, update_and_publish
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
 __all__ = [
     "Catalogue",
     "build_and_publish",

@@ -27,13 +27,14 @@ def band(halo: int, tile: int, days: int) -> np.ndarray:
 
 
 def _trailing_sums(block: np.ndarray, op: np.ndarray) -> np.ndarray:
-    """block @ op, where an overflowed (infinite) day counts in its own windows only."""
+    """block @ op, where an overflowed (infinite) or undefined (NaN) day counts in its own windows only."""
     wild = ~np.isfinite(block)
     if not wild.any():
         return block @ op
     out = np.where(wild, 0.0, block) @ op
     up, down = (block == np.inf) @ op > 0, (block == -np.inf) @ op > 0
-    out[up], out[down], out[up & down] = np.inf, -np.inf, np.nan
+    out[up], out[down] = np.inf, -np.inf
+    out[(up & down) | (np.isnan(block) @ op > 0)] = np.nan
     return out
 
 
@@ -43,7 +44,8 @@ def rolling_totals(daily: DataFrame, periods: DataFrame, windows: tuple[int, ...
     daily: (entity, day INT since 1970, n BIGINT, total DOUBLE), any number of rows a day. periods: (entity, first_day
     INT, last_day INT, inclusive); they may overlap, every day comes once. Activity outside the periods counts in the
     windows that reach it. n counts activity; mean is total/n, null without activity. Entities without period give no
-    row, periods without activity give zeros. Null entities and days are left out; null n and total count as 0.
+    row, periods without activity give zeros. Null entities and days are left out; null n and
+    total count as 0; a NaN total makes the windows that hold its day NaN, and no others.
 
     One shuffle of partly aggregated days by (entity, tile); a hot entity spreads over its tiles.
     """
