@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,21 +75,23 @@ def regular_grid(readings: DataFrame, periods: DataFrame, gap_slots: int = 3, ch
     id_type = dict(periods.dtypes)["deployment_id"]
     schema = f"deployment_id {id_type}, station_ref string, slot_us bigint, n_readings bigint, value double, state string"
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        head = group.iloc[0]
-        start, step_us, n_slots, chunk = (int(head[c]) for c in ("starts_us", "step_us", "n_slots", "chunk"))
+    def merge(group: pa.Table) -> pa.Table:
+        start, step_us, n_slots, chunk = (group[c][0].as_py() for c in ("starts_us", "step_us", "n_slots", "chunk"))
         ks = np.arange(chunk * chunk_slots, min((chunk + 1) * chunk_slots, n_slots))
         grid = start + ks * step_us
-        g = group[group["n"] > 0].sort_values("first_us")
-        value = _as_of(grid, g["first_us"].to_numpy("int64"), g["first_v"].to_numpy(float), g["last_us"].to_numpy("int64"), g["last_v"].to_numpy(float), gap_slots * step_us)
+        n, k, first_us, first_v, last_us, last_v = (group[c].to_numpy() for c in ("n", "k", "first_us", "first_v", "last_us", "last_v"))
+        own = np.flatnonzero(n > 0)
+        own = own[np.argsort(first_us[own])]
+        value = _as_of(grid, first_us[own], first_v[own], last_us[own], last_v[own], gap_slots * step_us)
         count, first = np.zeros(len(ks), "int64"), np.full(len(ks), np.nan)
-        at = g["k"].to_numpy("int64") - ks[0]
+        at = k[own] - ks[0]
         here = (at >= 0) & (at < len(ks))
-        count[at[here]], first[at[here]] = g["n"].to_numpy("int64")[here], g["first_v"].to_numpy(float)[here]
-        state = np.where(count > 0, "observed", np.where(np.isnan(value), "missing", "filled"))
+        count[at[here]], first[at[here]] = n[own][here], first_v[own][here]
+        state = np.where(count > 0, 0, np.where(np.isnan(value), 2, 1))
         value = np.where(np.isnan(value), first, value)
-        ref = None if pd.isna(head["deployment_id"]) else head["deployment_id"]
-        return pd.DataFrame({"deployment_id": pd.Series([ref] * len(ks), dtype=object if ref is None else None), "station_ref": head["station_ref"], "slot_us": grid, "n_readings": count, "value": value, "state": state})
+        names = pa.DictionaryArray.from_arrays(pa.array(state, pa.int8()), pa.array(["observed", "filled", "missing"])).cast(pa.string())
+        whole = lambda c: pa.repeat(group[c][0], len(ks))
+        return pa.table({"deployment_id": whole("deployment_id"), "station_ref": whole("station_ref"), "slot_us": grid, "n_readings": count, "value": value, "state": names})
 
-    out = rows.groupBy("deployment_id", "station_ref", "starts_us", "step_us", "n_slots", "chunk").applyInPandas(merge, schema)
+    out = rows.groupBy("deployment_id", "station_ref", "starts_us", "step_us", "n_slots", "chunk").applyInArrow(merge, schema)
     return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
