@@ -45,7 +45,7 @@ def rolling_totals(daily: DataFrame, periods: DataFrame, windows: tuple[int, ...
     INT, last_day INT, inclusive); they may overlap, every day comes once. Activity outside the periods counts in the
     windows that reach it. n counts activity; mean is total/n, null without activity. Entities without period give no
     row, periods without activity give zeros. Null entities and days are left out; null n and
-    total count as 0; a NaN total makes the windows that hold its day NaN, and no others.
+    total count as 0; a NaN total (or infinities of both signs) makes total and mean of the windows that hold its day null, and no others.
 
     One shuffle of partly aggregated days by (entity, tile); a hot entity spreads over its tiles.
     """

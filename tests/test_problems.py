@@ -108,7 +108,8 @@ def test_rolling_overflow_stays_in_its_windows(spark):
 def test_rolling_undefined_days_stay_in_their_windows(spark):
     d = spark.createDataFrame([("s", 0, 1, NAN), ("s", 10, 1, 2.0), ("s", 50, 1, INF), ("s", 50, 1, -INF)], "entity string, day int, n long, total double")
     got = {x.day: x for x in rolling_totals(d, spark.createDataFrame([("s", 0, 60)], "entity string, first_day int, last_day int")).collect()}
-    assert np.isnan(got[0].total_7) and np.isnan(got[6].total_7) and got[7].total_7 == 0 and np.isnan(got[29].total_30) and got[30].total_30 == 2 and got[10].total_7 == 2 and np.isnan(got[50].total_7) and got[57].total_7 == 0
+    assert got[0].total_7 is got[6].total_7 is got[29].total_30 is got[50].total_7 is got[50].mean_7 is None
+    assert got[7].total_7 == 0 and got[30].total_30 == 2 and got[10].total_7 == 2 and got[57].total_7 == 0 and got[0].n_7 == 1
 
 
 def test_rolling_empty(spark):
