@@ -31,7 +31,7 @@ def with_neighbours(rows: DataFrame, key: str, at: str, values: list[str], reach
     """rows (key, at, values), unique by (key, at), with tile and is_core.
 
     A tile is tile_rows rows in the order of (key, at). Each tile also gets copies, not is_core, of the `reach` rows right
-    before and right after it. Windows partitioned by (tile, key) are then exact for core rows as far as they look at most
+    before and right after it. Rows are placed by (tile, key), and windows partitioned by these are then exact for core rows as far as they look at most
     `reach` rows away; no window holds more than a tile and its neighbours, whatever the density of a series.
     """
     if tile_rows < reach:
@@ -41,4 +41,6 @@ def with_neighbours(rows: DataFrame, key: str, at: str, values: list[str], reach
     if tile_rows < 2 * reach:  # a row may be near both ends
         copies = F.array_distinct(F.array(tile, F.when(place < reach, tile - 1).otherwise(tile), F.when(place >= tile_rows - reach, tile + 1).otherwise(tile)))
     near = in_order(rows, key, at, values).withColumn("tile", F.explode(copies))
-    return near.withColumn("is_core", F.col("tile") == tile).drop("place")
+    near = near.withColumn("is_core", F.col("tile") == tile).drop("place")
+    # a given number: windows cost more than their bytes, which is all that adaptive execution would see in joining partitions
+    return near.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile", key)
