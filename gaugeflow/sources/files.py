@@ -56,10 +56,11 @@ def create_once(spark: SparkSession, path: str, text: str) -> None:
             out.write(bytearray(text.encode()))
             out.close()
         except Exception as e:
-            if fs.exists(to) and read_text(spark, path) != text:
+            if not fs.exists(to):
+                raise
+            if read_text(spark, path) != text:
                 raise FileExistsError(path) from e
-            raise
-        return
+        return  # written, or written although the store's answer was lost
     _, tmp = hadoop_path(spark, f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}")
     fs.mkdirs(to.getParent())
     out = fs.create(tmp, False)
