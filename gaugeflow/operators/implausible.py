@@ -1,8 +1,7 @@
 """Spikes, stuck values and impossible readings, against each source's ordinary behaviour.
 
-Daily profiles of a source form a matrix (rows: days, columns: times of day). Robust principal components split it into
-a low-rank part, the source's normal behaviour, and a sparse part. Where the sparse part is large, or the low-rank part
-itself jumps, the exact rule for spikes is tested. Ranges and constant runs are tested apart from it.
+Every reading is held against the exact rule for spikes, in the source's usual steps; ranges and constant runs are tested
+apart from it.
 
 Readings are cut into tiles of (source, TILE_DAYS), each packed into one row with its arrays and a summary: its ends, a
 histogram of its steps and of its runs. From the summaries come the source's usual step and ordinary runs, the neighbours
@@ -27,13 +26,14 @@ TILE_DAYS = 96
 #: Readings beyond a tile's ends that the exact rule may look at: a spike of 3, its neighbour, and LOCAL of these.
 HALO = 12
 LOCAL = 6
-#: Rule: a spike is more than SPIKE_STEPS usual steps off its neighbours. The sparse part counts from SPARSE_STEPS on, a
-#: jump of the low-rank part from LOW_STEPS on: of two readings more than SPIKE_STEPS apart, one has such a sparse part or
-#: there is such a jump between them (triangle inequality), so whatever the decomposition is, no spike goes untested.
+#: Rule: a spike is more than SPIKE_STEPS usual steps off its neighbours.
 SPIKE_STEPS = 12.0
+MAX_SPIKE = 3
+#: profile_suspects: the sparse part counts from SPARSE_STEPS on, a jump of the low-rank part from LOW_STEPS on. Of two
+#: readings more than SPIKE_STEPS apart, one has such a sparse part or there is such a jump between them (triangle
+#: inequality), so its marks can't change what the rule finds; implausible_readings does without them.
 SPARSE_STEPS = 2.0
 LOW_STEPS = SPIKE_STEPS - 2 * SPARSE_STEPS
-MAX_SPIKE = 3
 #: Rule: a stuck run has at least STUCK_LEAST readings, and STUCK_TIMES the length of ordinary runs.
 STUCK_LEAST = 12
 STUCK_TIMES = 2
@@ -94,7 +94,8 @@ def profile_suspects(us: np.ndarray, v: np.ndarray, step: float) -> np.ndarray:
     """Readings, in time order, that don't follow the source's daily profiles: a large sparse part, or a jump of the
     low-rank part to the reading before or after; and readings that share a cell of the matrix with an earlier one.
 
-    A row is a UTC day. A source with under 8 readings a day has rows of 16 readings in a row instead.
+    A row is a UTC day. A source with under 8 readings a day has rows of 16 readings in a row instead. Not a step of
+    implausible_readings, see LOW_STEPS.
     """
     cadence = np.median(np.diff(us)) if len(us) > 1 else DAY_US
     width = int(np.clip(round(DAY_US / max(cadence, 1)), 1, 1440))
@@ -128,8 +129,8 @@ def profile_suspects(us: np.ndarray, v: np.ndarray, step: float) -> np.ndarray:
     return out
 
 
-def spikes(v: np.ndarray, step: float, suspect: np.ndarray) -> np.ndarray:
-    """Which readings, in time order, are spikes; only groups with a suspect reading are looked at.
+def spikes(v: np.ndarray, step: float, suspect: np.ndarray | None = None) -> np.ndarray:
+    """Which readings, in time order, are spikes; if suspect is given, only groups with such a reading are looked at.
 
     A spike is 1 to MAX_SPIKE readings off to the same side of the readings right before and right after them by more
     than SPIKE_STEPS steps. Where a neighbour may itself be (part of) a spike, the one further off the median of the
@@ -139,14 +140,15 @@ def spikes(v: np.ndarray, step: float, suspect: np.ndarray) -> np.ndarray:
     out = np.zeros(n, bool)
     if n < 3 or not step > 0:
         return out
-    suspects_before = np.r_[0, np.cumsum(suspect)]
+    suspects_before = None if suspect is None else np.r_[0, np.cumsum(suspect)]
     begin, end = [], []
     for m in range(1, min(MAX_SPIKE, n - 2) + 1):
         parts = np.lib.stride_tricks.sliding_window_view(v, m)[1 : n - m]
         before, after = v[: n - m - 1], v[m + 1 :]
         far = np.maximum(parts.min(axis=1) - np.maximum(before, after), np.minimum(before, after) - parts.max(axis=1))
         at = np.flatnonzero(far > SPIKE_STEPS * step) + 1
-        at = at[suspects_before[at + m] > suspects_before[at]]
+        if suspects_before is not None:
+            at = at[suspects_before[at + m] > suspects_before[at]]
         begin.append(at)
         end.append(at + m)
     a, b = np.concatenate(begin), np.concatenate(end)
@@ -181,7 +183,7 @@ def _pieces(v: np.ndarray) -> np.ndarray:
 
 _TILE = (
     "station_ref string, tile bigint, n bigint, us array<bigint>, value array<double>, out_us array<bigint>, out_value array<double>, zero_ok boolean, no_spikes boolean, "
-    "head array<struct<us:bigint,value:double>>, tail array<struct<us:bigint,value:double>>, steps array<double>, step_n array<bigint>, runs array<bigint>, run_n array<bigint>, ends array<struct<value:double,n:bigint>>"
+    "head array<double>, tail array<double>, steps array<double>, step_n array<bigint>, runs array<bigint>, run_n array<bigint>, ends array<struct<value:double,n:bigint>>"
 )
 
 
@@ -206,7 +208,7 @@ def _packed(group: pa.Table) -> pa.Table:
     columns = {
         "station_ref": group["station_ref"][:1].combine_chunks(), "tile": group["tile"][:1].combine_chunks(), "n": pa.array([len(v)]), "us": one(us, pa.int64()), "value": one(v, pa.float64()),
         "out_us": one(out_us, pa.int64()), "out_value": one(out_v, pa.float64()), "zero_ok": pa.array([zero_ok]), "no_spikes": group["no_spikes"][:1].combine_chunks(),
-        "head": two(us=us[:HALO], value=v[:HALO]), "tail": two(us=us[-HALO:], value=v[-HALO:]), "steps": one(steps, pa.float64()), "step_n": one(step_n, pa.int64()), "runs": one(runs, pa.int64()), "run_n": one(run_n, pa.int64()),
+        "head": one(v[:HALO], pa.float64()), "tail": one(v[-HALO:], pa.float64()), "steps": one(steps, pa.float64()), "step_n": one(step_n, pa.int64()), "runs": one(runs, pa.int64()), "run_n": one(run_n, pa.int64()),
         "ends": two(value=v[starts][ends], n=length[ends].astype("int64")),
     }
     return pa.table(columns)
@@ -273,16 +275,10 @@ def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not tile["n"]:
                 continue
             us, v = array("us", i), array("value", i)
-            step = tile["usual_step"] or 0.0
-            if not tile["no_spikes"] and step > 0:
-                sides = [batch[c][i].values for c in ("before", "after")]
-                at, x = ([s.field(f).to_numpy(zero_copy_only=False) for s in sides] for f in (0, 1))
-                core = slice(len(at[0]), len(at[0]) + len(us))
-                whole_us, whole = np.concatenate([at[0], us, at[1]]), np.concatenate([x[0], v, x[1]])
-                if len(whole) > 2:
-                    near = np.convolve(profile_suspects(whole_us, whole, step), np.ones(2 * MAX_SPIKE + 3))[MAX_SPIKE + 1 :][: len(whole)] > 0
-                    spike = spikes(whole, step, near)[core]
-                    add(ref, us[spike], v[spike], "spike")
+            if not tile["no_spikes"]:
+                before, after = array("before", i), array("after", i)
+                spike = spikes(np.concatenate([before, v, after]), tile["usual_step"] or 0.0)[len(before) :][: len(v)]
+                add(ref, us[spike], v[spike], "spike")
             starts = _pieces(v)
             length = np.diff(np.r_[starts, len(v)])
             total = length.copy()
@@ -325,7 +321,7 @@ def implausible_readings(current: DataFrame, station_variables: DataFrame, encod
     limits = stuck_limits(inner.unionByName(crossing))
 
     steps = held.select("station_ref", F.explode(F.arrays_zip("steps", "step_n")).alias("s")).select("station_ref", F.col("s.steps").alias("step"), F.col("s.step_n").alias("n"))
-    jump = F.round(F.abs(F.element_at("head", 1)["value"] - F.lag(F.element_at("tail", -1)["value"]).over(w)), 9)
+    jump = F.round(F.abs(F.element_at("head", 1) - F.lag(F.element_at("tail", -1)).over(w)), 9)
     between = held.select("station_ref", jump.alias("step"), F.lit(1).cast("bigint").alias("n")).filter("step > 0")
     usual = usual_steps(steps.unionByName(between))
 

@@ -439,6 +439,23 @@ def test_spikes_of_a_noisy_minute_source_are_found_at_once():
     assert spikes(v, 0.01, np.ones(len(v), bool)).any() and time.perf_counter() - began < 2
 
 
+def test_every_reading_of_every_tile_is_held_against_the_rule(spark):
+    rows, want, every, huge = [], set(), {"hourly": HOUR, "rare": 9 * HOUR, "dense": 60_000_000}, set()
+    for name, n in (("hourly", 300), ("rare", 120), ("dense", 3000)):
+        rng = np.random.default_rng(n)
+        v = np.round(np.cumsum(rng.normal(0, 1, n)), 1)
+        at = rng.choice(np.arange(1, n - 1), n // 12, replace=False)
+        v[at] += rng.choice([-30, 20, 60], len(at))
+        v[n // 3], v[n // 2] = 1e200, -1e300  # finite, too large for the squares a decomposition needs
+        d = np.abs(np.diff(v)).round(6)
+        want |= {(name, i) for i in slow_spikes(v.tolist(), np.median(d[d > 0]))}
+        huge |= {(name, n // 3), (name, n // 2)}
+        rows += [(name, i * every[name], float(x)) for i, x in enumerate(v)]
+    kinds, enc = spark.createDataFrame([], "station_ref string, variable string"), spark.createDataFrame([], ENC)
+    got = {(r.station_ref, r.us // every[r.station_ref]) for r in implausible_readings(_readings(spark, rows), kinds, enc, tile_days=1).collect() if r.reason == "spike"}
+    assert got == want and huge <= got
+
+
 def test_usual_step_is_the_exact_median(spark):
     rng = random.Random(4)
     rows = [(s, x, rng.randint(1, 3)) for s, n in (("a", 501), ("b", 500), ("one", 1), ("two", 2)) for x in (rng.choice([rng.uniform(0.001, 9), 2.0, 2.0001]) for _ in range(n))]
